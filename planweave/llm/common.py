@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once a context, so that they need no install and no shared folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_planweave_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[2]
+    folder = tempfile.mkdtemp(prefix="planweave-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = Path(folder, "planweave.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(Path(__file__).resolve().parents[1].rglob("*.py")):
+            z.write(p, p.relative_to(top))
+    sc.addPyFile(str(name))
+    sc._planweave_shipped = True
+
+
 def per_batch(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """Runs make() once a task and the function it returns once an Arrow batch."""
 
@@ -37,6 +57,7 @@ def per_batch(df: DataFrame, schema: T.StructType | str, make: Callable[[], Call
             if batch.num_rows and (out := step(batch)) is not None:
                 yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship
 
 
 def label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,6 +44,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     by a checkpoint; rounds grow with the logarithm of the longest path.
     """
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
+    ship(links.sparkSession)
     links = cut(links.mapInArrow(_forest, "a long, b long").distinct())
     size = None
     while True:
