@@ -20,7 +20,7 @@ END = 1
 #: Pieces packed together by one task, and shards whose open sequences are packed again together.
 SHARD, SHARDS = 16_384, 64
 #: Words whose ids a worker remembers at once.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Bytes of the longest word merged here; the rank of a pair that does not merge.
 WIDTH, _NONE = 64, np.iinfo(np.int32).max
 
@@ -29,7 +29,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Words of these characters alone are the same in any Unicode version of the normaliser and the word pattern.
 _PLAIN = re.compile("[\0-\u012f\u0131-\u024f]*")
-_END = "</w>"
+_END, _STOPS = "</w>", {".", ","}
 
 
 class WordIds:
@@ -103,7 +103,7 @@ class WordIds:
         return [joined[x:y] for x, y in zip(ends, ends[1:])]
 
     def _plain(self, chunks: list[str]) -> None:
-        matched = [(c, [w.encode() for w in self.pattern.findall(c.lower())]) for c in chunks]
+        matched = [(c, _letters(c) or [w.encode() for w in self.pattern.findall(c.lower())]) for c in chunks]
         words = sorted({w for _, ws in matched for w in ws}, key=len)
         done: dict[bytes, bytes] = {}
         for k in range(0, len(words), 20_000):
@@ -118,7 +118,7 @@ class WordIds:
             self.known, new = {}, list(words)
         plain, rest = [], []
         for w in new:
-            (plain if self.merged_here and len(w) <= WIDTH // 2 and _PLAIN.fullmatch(w) and "<" not in w else rest).append(w)
+            (plain if self.merged_here and len(w) <= WIDTH // 2 and (w.isascii() or _PLAIN.fullmatch(w)) and "<" not in w else rest).append(w)
         for k in range(0, len(plain), 50_000):
             self._plain(plain[k : k + 50_000])
         for k in range(0, len(rest), 1_000):
@@ -136,6 +136,15 @@ class WordIds:
             return b"".join(map(self.known.__getitem__, words))
 
 
+def _letters(chunk: str) -> list[bytes] | None:
+    """The matches of the word pattern for the two usual chunks: letters, and letters before one full stop or comma."""
+    if chunk.isalpha():
+        return [chunk.lower().encode()]
+    if chunk[-1:] in _STOPS and chunk[:-1].isalpha():
+        return [chunk[:-1].lower().encode(), chunk[-1].encode()]
+    return None
+
+
 def _byte_characters() -> list[str]:
     """The character that stands for each byte in vocabularies of this kind: itself where printable, else the next one from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
