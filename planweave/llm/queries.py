@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, packing, quality, secrets, simhash, toxicity, url_filter
+from . import bpe, html_text, packing, permutation_index, pivot_distance, quality, secrets, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_pivot_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_distance.largest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_secrets": op2_secrets,
     "op3_url_filter": op3_url_filter,
     "op4_html_text": op4_html_text,
@@ -61,10 +70,24 @@ QUERIES = {
     "op7_best_fit": op7_best_fit,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_pivot_distance": op10_pivot_distance,
 }
 
 #: DuckDB SQL where it can express a query.
 ORACLES = {
+    "op10_pivot_distance": """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+""",
     "op3_url_filter": """
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
