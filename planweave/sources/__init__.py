@@ -108,6 +108,6 @@ def parse_text(df: DataFrame, column: str, format: str, schema: str | None = Non
         lines = df.select(F.col(column).cast("string").alias("value")).where("value is not null")
         strings = getattr(lines._jdf, "as")(df.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
         inferred = getattr(df.sparkSession.read.options(**options)._jreader, format)(strings)
-        schema = DataFrame(inferred, df.sparkSession).schema.simpleString()[len("struct<") : -1]
+        schema = inferred.schema().toDDL()
     read = F.from_json(column, schema, options) if format == "json" else F.from_csv(column, schema, options)
     return df.select(read.alias("parsed")).select("parsed.*")
