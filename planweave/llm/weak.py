@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Two voters whose votes correlate above this given the class share one voice.
+#: Two voters share one voice whose votes correlate above this given the class, and that vote together on more than
+#: this share of the rows of the one that votes less.
 CORRELATED = 0.5
 
 
@@ -13,7 +14,8 @@ def posterior(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int =
 
     Expectation-maximisation: each voter's rates of either vote in either class are its expected shares
     (smoothed); the posterior multiplies their ratios for the votes that are cast, an abstention says nothing.
-    Correlations given the class are estimated from the votes' residuals; a voter's weight is one over the
+    Correlations given the class are estimated from the votes' residuals and only count among voters that
+    vote on the same rows; a voter's weight is one over the
     number of voters that say the same, itself included. No rows or no voters: the start.
     """
     n, m = votes.shape
@@ -30,7 +32,9 @@ def posterior(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int =
             sign = said[1] - said[0]
             rest = sign - q.T @ ((q @ sign) / (q.sum(axis=1)[:, None] + 1e-9))
             scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            weights = 1 / np.maximum(1, ((rest.T @ rest) / n / scale[:, None] / scale > CORRELATED).sum(axis=0))
+            cast = said.sum(axis=0)
+            together = cast.T @ cast / np.maximum(1, np.minimum(cast.sum(axis=0)[:, None], cast.sum(axis=0)))
+            weights = 1 / np.maximum(1, (((rest.T @ rest) / n / scale[:, None] / scale > CORRELATED) & (together > CORRELATED)).sum(axis=0))
         odds = np.log(prior / (1 - prior)) + np.einsum("vnm,vm->n", said, weights * np.log(rate[:, 1] / rate[:, 0]))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - p).max() < 1e-6:
