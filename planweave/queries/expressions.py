@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import fn
@@ -48,20 +48,27 @@ def _(t: Tables):
     return t.nation.select("n_nationkey", F.call_function("lower", c("n_name")).alias("n"))
 
 
-_W = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def _over(column: Column) -> Column:
+    return column.over(_window())
+
+
+def _window():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
 _OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
-for _n, _col, _sql in [
-    ("row_number", F.row_number(), f"CAST(row_number() {_OVER} AS INTEGER)"),
-    ("ntile", F.ntile(4), f"CAST(ntile(4) {_OVER} AS INTEGER)"),
-    ("lag", F.lag("o_orderkey", 1), f"lag(o_orderkey, 1) {_OVER}"),
-    ("lag_default", F.lag("o_orderkey", 2, -1), f"lag(o_orderkey, 2, -1) {_OVER}"),
-    ("lead", F.lead("o_orderkey", 1), f"lead(o_orderkey, 1) {_OVER}"),
-    ("first_last", F.first("o_orderkey"), f"first_value(o_orderkey) {_OVER}"),
+for _n, _make, _sql in [
+    ("row_number", lambda: F.row_number(), f"CAST(row_number() {_OVER} AS INTEGER)"),
+    ("ntile", lambda: F.ntile(4), f"CAST(ntile(4) {_OVER} AS INTEGER)"),
+    ("lag", lambda: F.lag("o_orderkey", 1), f"lag(o_orderkey, 1) {_OVER}"),
+    ("lag_default", lambda: F.lag("o_orderkey", 2, -1), f"lag(o_orderkey, 2, -1) {_OVER}"),
+    ("lead", lambda: F.lead("o_orderkey", 1), f"lead(o_orderkey, 1) {_OVER}"),
+    ("first_last", lambda: F.first("o_orderkey"), f"first_value(o_orderkey) {_OVER}"),
 ]:
 
     @query(f"win_{_n}", "E11 F11 F14 F15 F16 F7", f"SELECT o_orderkey, {_sql} AS w FROM orders")
-    def _(t: Tables, col=_col):
-        return t.orders.select("o_orderkey", col.over(_W).alias("w"))
+    def _(t: Tables, make=_make):
+        return t.orders.select("o_orderkey", _over(make()).alias("w"))
 
 
 @query("win_rank", "E11 F12", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS INTEGER) AS w FROM orders")
@@ -76,7 +83,7 @@ def _(t: Tables):
 
 @query("win_running_rows", "E11", f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) {_OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS w FROM orders")
 def _(t: Tables):
-    return t.orders.select("o_orderkey", F.sum(c("o_totalprice").cast("decimal(18,2)")).over(_W.rowsBetween(-2, 0)).cast("double").alias("w"))
+    return t.orders.select("o_orderkey", F.sum(c("o_totalprice").cast("decimal(18,2)")).over(_window().rowsBetween(-2, 0)).cast("double").alias("w"))
 
 
 @query("win_range_frame", "E11", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS w FROM lineitem")
@@ -115,7 +122,7 @@ def _(t: Tables):
 
 @query("fn_last", "F8", f"SELECT o_orderkey, last_value(o_orderkey) {_OVER[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS w FROM orders")
 def _(t: Tables):
-    return t.orders.select("o_orderkey", F.last("o_orderkey").over(_W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("w"))
+    return t.orders.select("o_orderkey", F.last("o_orderkey").over(_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("w"))
 
 
 @query("fn_strings", "F17 F18 F19 F20 F21 F22 F23 F24 F25", "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, trim('  ' || c_name || ' ') AS t, CAST(length(c_name) AS INTEGER) AS n, c_name || '!' AS c, concat_ws('-', c_name, c_mktsegment) AS w, substring(c_name, 2, 4) AS s, string_split_regex(c_name, '#') AS p, regexp_replace(c_name, '[0-9]+', '_', 'g') AS r FROM customer")

@@ -40,3 +40,13 @@ def test_samples_keep_their_bounds(spark):
     assert 0 < QUERIES["sample"](spark, DATA).count() < n / 4
     kinds = {r["event_type"] for r in QUERIES["sample_by"](spark, DATA).collect()}
     assert kinds <= {"click", "error"}
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert done.stdout.strip() == "True", done.stderr
