@@ -8,6 +8,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +54,25 @@ def ship(spark: SparkSession) -> None:
     sc._planweave_shipped = True
 
 
+#: What a worker process keeps between tasks, by the module that it belongs to.
+_held: dict[str, dict[Any, Any]] = {}
+
+
+def held(owner: str, key: Any, build: Callable[[], Any]) -> Any:
+    """build() once a worker process, for as long as it runs tasks of the same module: others free the memory."""
+    for other in [o for o in _held if o != owner]:
+        del _held[other]
+    own = _held.setdefault(owner, {})
+    if key not in own:
+        own[key] = build()
+    return own[key]
+
+
 def per_batch(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """Runs make() once a task and the function it returns once an Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(make.__module__, None, lambda: None)
         step = make()
         for batch in batches:
             if batch.num_rows and (out := step(batch)) is not None:
@@ -88,3 +104,14 @@ def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if x is not None and len(x) == width and width:
             out[i] = [np.nan if v is None else v for v in x]
     return out, np.isfinite(out).all(axis=1) & (width > 0)
+
+
+def filtered(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """The rows, with all their columns, whose texts the function that make() returns keeps; null texts are empty."""
+
+    def rows() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        keep = make()
+        return lambda batch: batch.filter(pa.array(keep(texts(batch, text_col)), pa.bool_()))
+
+    rows.__module__ = make.__module__
+    return per_batch(df, df.schema, rows)

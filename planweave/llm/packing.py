@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, texts
+from .common import cut, held, per_batch, texts
 
 #: The id that ends each document.
 END = 1
@@ -152,16 +152,6 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-_loaded: dict[str, WordIds] = {}
-
-
-def _words(path: str) -> WordIds:
-    """One for each worker process, so that its tasks share what is remembered."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
-
-
 class BestFit:
     """Open bins by remaining capacity, under a segment tree that knows which capacities occur."""
 
@@ -219,7 +209,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_
     """Each document's ids and END, cut every `capacity` ids: doc_id, piece, start, length, ids_crc32."""
 
     def make():
-        words = _words(path)
+        words = held(__name__, path, lambda: WordIds(path))  # tasks of a worker share what is remembered
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out, end, given = [], np.array([END], "<u4").tobytes(), texts(batch, "text")

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import cache
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, texts
+from .common import filtered, per_batch, texts
 from .weak import logistic, posterior
 
 #: Buckets of the hashed features; rows that the scorer is fitted on at most, those of the smallest hashes.
@@ -138,21 +139,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     return Model(w, b, accuracies)
 
 
+def _scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
+    reader = Reader()
+
+    def scores(given: list[str]) -> np.ndarray:
+        parts = [given[k : k + 200] for k in range(0, len(given), 200)]
+        return np.concatenate([model.score(np.array([reader.read(t)[0] for t in part])) for part in parts])
+
+    return scores
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row from its whole text; a null text is empty."""
 
     def make():
-        reader = Reader()
+        scores = _scorer(model)
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(texts(batch, "text")), pa.float64())], ["doc_id", "score"])
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            given, out = texts(batch, "text"), []
-            for k in range(0, len(given), 200):
-                out.append(model.score(np.array([reader.read(t)[0] for t in given[k : k + 200]])))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out), pa.float64())], ["doc_id", "score"])
+    return per_batch(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, score double", make)
 
-        return step
 
-    return per_batch(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, score double", make)
+def good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score KEEP or more; no row is shuffled."""
+    model = fit(docs, id_col, text_col)
+
+    def make():
+        scores = _scorer(model)
+        return lambda given: scores(given) >= KEEP
+
+    return filtered(docs, text_col, make)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

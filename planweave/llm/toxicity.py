@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, texts
+from .common import cut, filtered, per_batch, texts
 from .weak import logistic, posterior
 
 #: Words that vote for toxicity from the start.
@@ -139,30 +139,46 @@ def _covering(x: np.ndarray, y: np.ndarray, given: int) -> list[int]:
         cover = cover + toxic[:, best]
 
 
+def _scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
+    known: dict[str, tuple[int, ...]] = {}
+    near = {i - k * _MORE for i in model.weights for k in range(3 if i >> 32 else 1)}
+
+    def scores(given: list[str]) -> np.ndarray:
+        out = []
+        for t in given:
+            hits: list[int] = []
+            for w in words_of(t):
+                if (ids := known.get(w)) is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    ids = known[w] = tuple(i for i in word_ids(w) if i in near)
+                if ids:
+                    hits.extend(ids)
+            out.append(model.score(with_counts(hits) & model.weights.keys()))
+        return np.array(out)
+
+    return scores
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row from its whole text alone; null texts are empty, an empty text has a score too."""
 
     def make():
-        known: dict[str, tuple[int, ...]] = {}
-        near = {i - k * _MORE for i in model.weights for k in range(3 if i >> 32 else 1)}
+        scores = _scorer(model)
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(texts(batch, "text")), pa.float64())], ["doc_id", "score"])
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = []
-            for t in texts(batch, "text"):
-                hits: list[int] = []
-                for w in words_of(t):
-                    if (ids := known.get(w)) is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        ids = known[w] = tuple(i for i in word_ids(w) if i in near)
-                    if ids:
-                        hits.extend(ids)
-                scores.append(model.score(with_counts(hits) & model.weights.keys()))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+    return per_batch(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, score double", make)
 
-        return step
 
-    return per_batch(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, score double", make)
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score below the threshold; no row is shuffled."""
+    model = fit(docs, labels, id_col, text_col)
+
+    def make():
+        scores = _scorer(model)
+        return lambda given: scores(given) < threshold
+
+    return filtered(docs, text_col, make)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
