@@ -13,10 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts
+from .common import held, per_batch, texts
 
 #: Words whose ids a worker remembers at once, and words given to one recursive query.
-REMEMBERED, AT_ONCE = 400_000, 20_000
+REMEMBERED, AT_ONCE = 900_000, 20_000
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: A run of other characters with at most one space before it, or white space: no match of the pattern crosses these.
@@ -24,6 +24,10 @@ _CHUNK = regex.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: White space before a space: splitting at single spaces would then part a run of white space.
 _RUN = regex.compile(rf"[{_SPACE}] ")
 
+#: How the usual pattern begins, and the letters that are so in any Unicode version.
+_USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
+_PLAIN, _STOPS = regex.compile(r"[\0-\u024f]+"), {".", ","}
+
 #: `state` holds token-position rows: k is the word's number and the position, 32 bits each. A step joins neighbours
 #: to the merge table, takes each word's leftmost pair of the smallest rank and contracts it; words without a pair
 #: fall out, so a word's last step is its fixpoint.
@@ -61,6 +65,7 @@ class Merger:
         import duckdb
 
         self.ranks, self.pattern, self.remembered = load_ranks(path), regex.compile(pattern), remembered
+        self.usual = pattern.startswith(_USUAL)
         self.single = [self.ranks[bytes([k])] for k in range(256)]
         self.token = {rank: token for token, rank in self.ranks.items()}
         pairs = [(self.ranks[t[:k]] << 32 | self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
@@ -102,7 +107,7 @@ class Merger:
         if len(self.known) + len(new) > self.remembered:
             self.known, new = {}, list(chunks)
         for k in range(0, len(new), 50_000):
-            matched = [(c, [m.encode() for m in self.pattern.findall(c[1:] if c[:1] == "\0" else " " + c)]) for c in new[k : k + 50_000]]
+            matched = [(c, self._letters(c) or [m.encode() for m in self.pattern.findall(c[1:] if c[:1] == "\0" else " " + c)]) for c in new[k : k + 50_000]]
             if len(self.words) > self.remembered:
                 self.words = {}
             self.merge(list({w for _, words in matched for w in words if w not in self.words}))
@@ -110,6 +115,16 @@ class Merger:
                 done = [self.words[w] for w in words]
                 self.known[c] = done[0] if len(done) == 1 else (b"".join([x for x, _ in done]), b"".join([y for _, y in done]))
 
+    def _letters(self, chunk: str) -> list[bytes] | None:
+        """The matches in the two usual chunks, if the pattern is one that keeps runs of letters together with the space before."""
+        if not self.usual:
+            return None
+        if chunk.isalpha() and _PLAIN.fullmatch(chunk):
+            return [b" " + chunk.encode()]
+        if chunk[-1:] in _STOPS and chunk[:-1].isalpha() and _PLAIN.fullmatch(chunk):
+            return [b" " + chunk[:-1].encode(), chunk[-1].encode()]
+        return None
+
     def encode_all(self, given: list[str]) -> list[tuple[bytes, bytes]]:
         """encode() of each text; words new to many texts are merged together."""
         out = []
@@ -169,19 +184,9 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return _each(docs, path, pattern, id_col, text_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
 
 
-_mergers: dict[tuple[str, str], Merger] = {}
-
-
-def _merger(path: str, pattern: str) -> Merger:
-    """One for each worker process: loading the vocabulary takes a second."""
-    if (path, pattern) not in _mergers:
-        _mergers[path, pattern] = Merger(path, pattern)
-    return _mergers[path, pattern]
-
-
 def _each(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, rows) -> DataFrame:
     def make():
-        merger = _merger(path, pattern)
+        merger = held(__name__, (path, pattern), lambda: Merger(path, pattern))  # loading the vocabulary takes a second
         return lambda batch: rows(merger, batch)
 
     return per_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), schema, make)
