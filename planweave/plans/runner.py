@@ -165,6 +165,9 @@ class Runner:
         return ""
 
     def _cdc(self, f: AutoCdc) -> str:
+        """A once flow applies what is there on its first run; a run that was killed or detached goes on before it is marked."""
+        if f.once and self.storage.marker("once", f.name):
+            return "has run"
         schema, storage = self._plan.schemas[f.target], self.storage
         columns, path = schema.names, storage.at("state", f.name, "rows")
         seen = storage.at("state", f.name, "batch")
@@ -194,6 +197,8 @@ class Runner:
         self._wait(writer.start())
         if storage.exists(path):
             storage.swap(cdc.current(self.spark.read.parquet(path), f, columns), self._folder(f))
+        if f.once:
+            storage.write_text(storage.at("once", f.name), "done")
         return ""
 
 

@@ -231,6 +231,19 @@ def test_cdc_does_not_depend_on_order_or_batches(spark, tmp_path, root, ignore):
         assert sorted((tuple(r) for r in runner.resolve("t", False).select(COLUMNS).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_a_once_cdc_flow_runs_until_a_full_refresh_only(spark, tmp_path, root):
+    source, p = f"{tmp_path}/s", Pipeline()
+    p.create_streaming_table("t")
+    p.external("s", source)
+    p.create_auto_cdc_flow("t", "s", ["k"], "seq", column_list=["k", "a"], once=True)
+    runner, keys = Runner(spark, p, root, timeout=None), []
+    for k, refresh in ((1, False), (2, False), (3, True)):
+        spark.createDataFrame([(k, k, k)], "seq int, k int, a int").coalesce(1).write.mode("append").parquet(source)
+        runner.run(full_refresh=refresh)
+        keys.append(sorted(r["k"] for r in runner.resolve("t", False).collect()))
+    assert keys == [[1], [1], [1, 2, 3]]
+
+
 def test_cdc_columns():
     flow = cdc_flow()
     assert cdc.payload(["k", "a", "b", "op"], flow) == COLUMNS
