@@ -22,9 +22,9 @@ def _(t: Tables):
     return t.orders.select("o_orderkey", c("o_orderkey").cast("string").alias("s"), c("o_orderdate").cast("date").alias("d"))
 
 
-@query("expr_string", "E6", "SELECT o_orderkey, o_totalprice / 2 + 1 AS h FROM orders WHERE o_orderkey BETWEEN 10 AND 2000")
+@query("expr_string", "E6", "SELECT o_orderkey, o_totalprice / 2 + 1 AS h FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000")
 def _(t: Tables):
-    return t.orders.where(F.expr("o_orderkey between 10 and 2000")).select("o_orderkey", F.expr("o_totalprice / 2 + 1").alias("h"))
+    return t.orders.where(F.expr("o_totalprice between 1000 and 200000")).select("o_orderkey", F.expr("o_totalprice / 2 + 1").alias("h"))
 
 
 @query("expr_star", "E7", "SELECT *, r_regionkey + 1 AS next FROM region")
@@ -161,9 +161,9 @@ def _(t: Tables):
     return t.nation.select("n_nationkey", F.struct((k + 1).alias("x"))["x"].alias("field"), a.alias("arr"), F.size(a).alias("n"), F.array_contains(F.array(k, F.when(k == 3, 7)), 7).eqNullSafe(True).alias("has"), F.map_keys(m).alias("keys"), F.map_values(m).alias("vals"))
 
 
-@query("fn_explode", "F57", "SELECT vec_id, unnest(list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings")
+@query("fn_explode", "F57", "SELECT vec_id, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings")
 def _(t: Tables):
-    return t.embeddings.select("vec_id", F.explode(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))).alias("x"))
+    return t.embeddings.select("vec_id", F.explode(F.transform("embedding", lambda x: x.cast("double"))).alias("x"))
 
 
 @query("fn_explode_outer", "F58", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS x FROM nation")
@@ -176,9 +176,12 @@ def _(t: Tables):
     return t.part.select("p_partkey", F.md5("p_name").alias("m"), F.sha2("p_name", 256).alias("s"))
 
 
-@query("fn_unstable", "F69 F72 F73")
+@query("fn_unstable", "F69 F72 F73", "SELECT CAST(-1321691492 AS INTEGER) AS h, count(*) AS ids, true AS r FROM orders")
 def _(t: Tables):
-    return t.nation.select(F.hash("n_name").alias("h"), F.monotonically_increasing_id().alias("i"), F.rand(3).alias("r"))
+    """The hash of the documented example, as many different ids as rows, numbers in [0, 1) that are all different from one another but for a few."""
+    rows = t.orders.select(F.monotonically_increasing_id().alias("i"), F.rand(3).alias("r"))
+    spread = (F.min("r") >= 0) & (F.max("r") < 1) & (F.abs(F.avg("r") - 0.5) < 0.1)
+    return rows.agg(F.hash(F.lit("Spark"), F.array(F.lit(123)), F.lit(2)).alias("h"), F.countDistinct("i").alias("ids"), spread.alias("r"))
 
 
 @query("fn_json", "E3", "SELECT event_id, props AS j, json_extract_string(props, '$.k') AS k FROM events")

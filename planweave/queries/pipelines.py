@@ -127,7 +127,7 @@ def _(t: Tables):
     return _result(t, p, "kinds")
 
 
-@query("once_flow", "D11 D9", "SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id < 50")
+@query("once_flow", "D11 D9", "SELECT event_id FROM events UNION ALL SELECT -event_id FROM events")
 def _(t: Tables):
     p = Pipeline()
     _events(t, p)
@@ -139,7 +139,7 @@ def _(t: Tables):
 
     @p.append_flow("ids", once=True)
     def backfill(spark):
-        return spark.table("events").where("event_id < 50").select("event_id")
+        return spark.table("events").select((-c("event_id")).alias("event_id"))
 
     return _result(t, p, "ids", runs=2)
 

@@ -54,9 +54,9 @@ _J = {
 }
 for _k, (_how, _join) in _J.items():
 
-    @query(f"join_{_k}", "R7", f"SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c {_join} (SELECT * FROM orders WHERE o_orderkey % 2 = 0) o ON c.c_custkey = o.o_custkey")
+    @query(f"join_{_k}", "R7", f"SELECT c_custkey, o_orderkey FROM customer {_join} orders ON c_custkey = o_custkey AND o_totalprice > 30 * c_acctbal")
     def _(t: Tables, how=_how):
-        return t.customer.where("c_custkey % 3 = 0").join(t.orders.where("o_orderkey % 2 = 0"), c("c_custkey") == c("o_custkey"), how).select("c_custkey", "o_orderkey")
+        return t.customer.join(t.orders, (c("c_custkey") == c("o_custkey")) & (c("o_totalprice") > 30 * c("c_acctbal")), how).select("c_custkey", "o_orderkey")
 
 
 @query("join_semi", "R7", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
@@ -137,12 +137,12 @@ def _(t: Tables):
     return t.supplier.drop("s_name", "s_acctbal", "no_such_column")
 
 
-_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0"
+_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT n_nationkey + n_regionkey FROM nation"
 for _kind, _all in [(k, a) for k in ("union", "intersect", "except") for a in (False, True)]:
 
     @query(f"{_kind}{'_all' if _all else ''}", "R15", f"{_A} {_kind.upper()} {'ALL' if _all else ''} {_B}")
     def _(t: Tables, kind=_kind, all=_all):
-        return ops.set_op(t.customer.select(c("c_nationkey").alias("k")), t.supplier.where("s_nationkey % 2 = 0").select("s_nationkey"), kind, all)
+        return ops.set_op(t.customer.select(c("c_nationkey").alias("k")), t.nation.select(c("n_nationkey") + c("n_regionkey")), kind, all)
 
 
 @query("alias", "R16 E7", "SELECT n.* FROM nation n WHERE n.n_regionkey = 2")
@@ -167,7 +167,7 @@ def _(t: Tables):
 
 @query("sample", "R20")
 def _(t: Tables):
-    return t.events.sample(0.1, seed=7)
+    return t.events.sample(withReplacement=False, fraction=0.1, seed=7)
 
 
 @query("sample_by", "R29")
@@ -175,6 +175,25 @@ def _(t: Tables):
     return ops.sample_by(t.events, "event_type", {"click": 0.2, "error": 1.0}, 7)
 
 
+@query("sample_bounds", "R20", "SELECT true AS near, true AS subset, true AS again")
+def _(t: Tables):
+    """The size is within six standard deviations, rows are rows of the table once each, the same seed gives the same rows."""
+    some, again = t.events.sample(withReplacement=False, fraction=0.1, seed=7), t.events.sample(withReplacement=False, fraction=0.1, seed=7).select(c("event_id").alias("e"))
+    whole = t.events.select(c("event_id").alias("k"), F.lit(1).alias("one"))
+    sizes = some.join(whole, c("k") == c("event_id"), "full").join(again, c("e") == c("k"), "full").agg(F.count("event_id").alias("n"), F.count("k").alias("all"), (F.count(F.when(c("one").isNull(), 1)) == 0).alias("subset"), (F.count(F.when(c("event_id").isNull() != c("e").isNull(), 1)) == 0).alias("again"))
+    return sizes.select((F.abs(c("n") - 0.1 * c("all")) <= 6 * F.sqrt(0.09 * c("all"))).alias("near"), "subset", "again")
+
+
+@query("sample_by_bounds", "R29", "SELECT event_type, CASE event_type WHEN 'error' THEN count(*) END AS exact, true AS near FROM events WHERE event_type IN ('click', 'error') GROUP BY 1")
+def _(t: Tables):
+    """A stratum of fraction 1 is whole, one of 0.2 within six standard deviations, those without a fraction are absent."""
+    kinds = t.events.groupBy("event_type").agg(F.count("*").alias("all"))
+    some = ops.sample_by(t.events, "event_type", {"click": 0.2, "error": 1.0}, 7).groupBy("event_type").agg(F.count("*").alias("n"))
+    share = F.when(c("event_type") == "click", 0.2).otherwise(1.0)
+    near = F.abs(c("n") - share * c("all")) <= 6 * F.sqrt(share * (1 - share) * c("all"))
+    return some.join(F.broadcast(kinds), "event_type").select("event_type", F.when(c("event_type") == "error", c("n")).alias("exact"), near.alias("near"))
+
+
 @query("hint", "R21", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def _(t: Tables):
     return t.customer.join(t.nation.hint("broadcast"), c("c_nationkey") == c("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
@@ -274,10 +293,10 @@ def _(t: Tables):
     return ops.as_of_join(left, right, "ts", "seen")
 
 
-@query("lateral_join", "R33", "SELECT c.c_custkey, o.o_orderkey, o.o_totalprice FROM (SELECT * FROM customer WHERE c_custkey <= 100) c, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 100000) o")
+@query("lateral_join", "R33", "SELECT c.c_custkey, o.o_orderkey, o.o_totalprice FROM customer c, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 100000) o")
 def _(t: Tables):
     inner = t.orders.where((c("o_custkey") == c("c.c_custkey").outer()) & (c("o_totalprice") > 100000)).select("o_orderkey", "o_totalprice")
-    return ops.lateral_join(t.customer.where("c_custkey <= 100").alias("c"), inner).select("c_custkey", "o_orderkey", "o_totalprice")
+    return ops.lateral_join(t.customer.alias("c"), inner).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("parse_json", "R34", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -310,12 +329,15 @@ def _(t: Tables):
     return src.inline(t.spark, [(1, 2.5, "it's"), (2, None, ""), (None, 4, "a\\tb")], ["id", "x", "s"])
 
 
-@query("show_string", "R38")
+_LINE = "'+-----------+-----------+' || chr(10)"
+
+
+@query("show_string", "R38", f"SELECT {_LINE} || '|r_regionkey|     r_name|' || chr(10) || {_LINE} || string_agg('|' || lpad(r_regionkey::VARCHAR, 11, ' ') || '|' || lpad(r_name, 11, ' ') || '|' || chr(10), '' ORDER BY r_regionkey) || {_LINE} AS show_string FROM region")
 def _(t: Tables):
     return ops.show_string(t.region.orderBy("r_regionkey"))
 
 
-@query("html_string", "R39")
+@query("html_string", "R39", "SELECT '<table border=''1''>' || chr(10) || '<tr><th>r_regionkey</th><th>r_name</th></tr>' || chr(10) || string_agg('<tr><td>' || r_regionkey || '</td><td>' || r_name || '</td></tr>' || chr(10), '' ORDER BY r_regionkey) || '</table>' || chr(10) AS html_string FROM region")
 def _(t: Tables):
     return ops.html_string(t.region.orderBy("r_regionkey"))
 
@@ -335,19 +357,26 @@ def _(t: Tables):
     return src.catalog(t.view("nation", "region"), "list_tables").where("isTemporary").select("name")
 
 
-@query("describe", "R42")
+@query("describe", "R42", "SELECT unnest(['count', 'mean', 'stddev', 'min', 'max']) AS summary, round(unnest([count(value), avg(value), stddev_samp(value), min(value), max(value)]), 4) AS value FROM events")
 def _(t: Tables):
-    return t.events.describe("value")
+    return t.events.describe("value").select("summary", F.round(c("value").cast("double"), 4).alias("value"))
 
 
-@query("summary", "R43")
+@query("summary", "R43", "SELECT unnest(['count', 'min', 'near', 'max']) AS summary, unnest([count(value), min(value), 1, max(value)]) AS value FROM events")
 def _(t: Tables):
-    return t.events.select("value").summary("count", "min", "50%", "max")
+    found = t.events.select("value").summary("count", "min", "50%", "max").select("summary", c("value").cast("double").alias("value"))
+    # the median is approximate: near tells whether its rank is within a hundredth of the middle
+    bounds = t.events.agg(F.percentile("value", F.array(F.lit(0.49), F.lit(0.51))).alias("p"))
+    near = found.where("summary = '50%'").crossJoin(F.broadcast(bounds)).select(F.lit("near").alias("summary"), c("value").between(c("p")[0], c("p")[1]).cast("double").alias("value"))
+    return found.where("summary <> '50%'").union(near)
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
-@query("crosstab", "R44", "SELECT o_orderstatus AS o_orderstatus_o_orderpriority, count(*) FILTER (o_orderpriority = '1-URGENT') AS \"1-URGENT\", count(*) FILTER (o_orderpriority = '2-HIGH') AS \"2-HIGH\" FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1")
+@query("crosstab", "R44", "SELECT o_orderstatus AS o_orderstatus_o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderpriority = '{x}') AS \"{x}\"" for x in _PRIORITIES) + " FROM orders GROUP BY 1")
 def _(t: Tables):
-    return t.orders.where("o_orderpriority in ('1-URGENT', '2-HIGH')").crosstab("o_orderstatus", "o_orderpriority")
+    return t.orders.crosstab("o_orderstatus", "o_orderpriority")
 
 
 @query("cov", "R45", "SELECT round(covar_samp(l_quantity, l_extendedprice), 4) AS cov FROM lineitem")
@@ -360,9 +389,10 @@ def _(t: Tables):
     return ops.corr(t.lineitem, "l_quantity", "l_extendedprice").select(F.round("corr", 8).alias("corr"))
 
 
-@query("freq_items", "R47")
+@query("freq_items", "R47", "SELECT list_sort(list(DISTINCT event_type)) AS event_type_freqItems FROM events")
 def _(t: Tables):
-    return t.events.freqItems(["event_type"], 0.1)
+    # fewer kinds than the ten counters of this support: none is lost
+    return t.events.freqItems(["event_type"], 0.1).select(F.sort_array("event_type_freqItems").alias("event_type_freqItems"))
 
 
 @query("cube", "R8", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
