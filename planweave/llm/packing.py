@@ -7,20 +7,20 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, per_batch, texts
+from .common import cut, held, per_batch
 
 #: The id that ends each document.
 END = 1
 #: Pieces packed together by one task, and shards whose open sequences are packed again together.
 SHARD, SHARDS = 16_384, 64
-#: Words whose ids a worker remembers at once.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers at once, and bytes of text that it takes at once (or one longer text).
+REMEMBERED, SLICE = 1_000_000, 2**24
 #: Bytes of the longest word merged here; the rank of a pair that does not merge.
 WIDTH, _NONE = 64, np.iinfo(np.int32).max
 
@@ -35,15 +35,17 @@ _END, _STOPS = "</w>", {".", ","}
 class WordIds:
     """Ids of texts by a tokenizer file of the word-end kind, whose pieces never cross a space.
 
-    Each word is encoded once and remembered. Plain words are merged here, many at once; any other goes through
-    the library, as does everything if the file's settings are not the ones known here.
+    Each different word is encoded once and remembered by a number. Plain words are merged here, many at once; any
+    other goes through the library, as does everything if the file's settings are not the ones known here.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self._keep([])
         spec = json.loads(self.tokenizer.to_str())
         model, split = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -60,6 +62,15 @@ class WordIds:
             self.inner = np.array([ids[c] for c in shown], np.int32)
             self.last = np.array([ids[c + _END] for c in shown], np.int32)
 
+    def _keep(self, words: list[str]) -> None:
+        """Forgets all but these. Word 0 is the end of a document."""
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        length = self.ends[at + 1] - self.ends[at]
+        to = np.cumsum(length)
+        self.ids = np.concatenate([np.array([END], "<u4"), self.ids[np.repeat(self.ends[at + 1] - to, length) + np.arange(length.sum())]])
+        self.ends = np.concatenate([[0, 1], 1 + to])
+        self.known = dict(zip(words, range(1, len(words) + 1)))
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs; those outside the merge table get the largest one."""
         key = a.astype(np.int64) * self.factor + b
@@ -102,38 +113,48 @@ class WordIds:
         joined, ends = tokens[tokens >= 0].astype("<u4").tobytes(), (np.concatenate([[0], np.cumsum(counts)]) * 4).tolist()
         return [joined[x:y] for x, y in zip(ends, ends[1:])]
 
-    def _plain(self, chunks: list[str]) -> None:
-        matched = [(c, _letters(c) or [w.encode() for w in self.pattern.findall(c.lower())]) for c in chunks]
-        words = sorted({w for _, ws in matched for w in ws}, key=len)
+    def _plain(self, chunks: list[str]) -> list[bytes]:
+        matched = [_letters(c) or [w.encode() for w in self.pattern.findall(c.lower())] for c in chunks]
+        words = sorted({w for ws in matched for w in ws}, key=len)
         done: dict[bytes, bytes] = {}
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
             done.update(zip(part, self._merge(part)))
-        for c, ws in matched:
-            self.known[c] = done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws])
+        return [done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws]) for ws in matched]
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self.known, new = {}, list(words)
+    def _learn(self, new: list[str]) -> None:
         plain, rest = [], []
         for w in new:
             (plain if self.merged_here and len(w) <= WIDTH // 2 and (w.isascii() or _PLAIN.fullmatch(w)) and "<" not in w else rest).append(w)
+        found: list[bytes] = []
         for k in range(0, len(plain), 50_000):
-            self._plain(plain[k : k + 50_000])
+            found += self._plain(plain[k : k + 50_000])
         for k in range(0, len(rest), 1_000):
-            part = rest[k : k + 1_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest[k : k + 1_000], add_special_tokens=False)]
+        self.known.update(zip(plain + rest, range(len(self.ends) - 1, len(self.ends) - 1 + len(found))))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of different words."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.remembered:
+            self._keep([w for w in words if w in self.known])
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def encode(self, given: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, each with END after it, and where each text ends, from 0 on)."""
+        words = pc.split_pattern(given, " ")
+        coded, ends = words.flatten().dictionary_encode(), words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        number = np.insert(self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()], ends, 0)
+        length = (self.ends[1:] - self.ends[:-1])[number]
+        to = np.cumsum(length)
+        # id k of a word is as far from its word's first id there as here
+        ids = self.ids[np.repeat(self.ends[number] - to + length, length) + np.arange(to[-1] if len(to) else 0)]
+        return ids, np.concatenate([[0], to[ends + np.arange(len(ends))]])
 
 
 def _letters(chunk: str) -> list[bytes] | None:
@@ -205,25 +226,40 @@ def _packed(lengths: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.n
     return number, offset, fit.used
 
 
+def _cut(ids: np.ndarray, ends: np.ndarray, capacity: int, first: int) -> tuple[np.ndarray, ...]:
+    """Of texts first, first + 1, ... the pieces: text, piece, start, length, ids_crc32."""
+    total = np.diff(ends)
+    count = -(-total // capacity)
+    doc = np.repeat(np.arange(len(total)), count)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    start = piece * capacity
+    length = np.minimum(capacity, total[doc] - start)
+    view, at = memoryview(ids).cast("B"), ends[doc] + start
+    crc = np.array([zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(at.tolist(), (at + length).tolist())], np.int64)
+    return doc + first, piece, start, length, crc
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids and END, cut every `capacity` ids: doc_id, piece, start, length, ids_crc32."""
+    """Each document's ids and END, cut every `capacity` ids: doc_id, piece, start, length, ids_crc32.
+
+    A null or empty text is END alone. Null doc_ids and repeated rows are kept, an empty table gives an empty table.
+    """
 
     def make():
         words = held(__name__, path, lambda: WordIds(path))  # tasks of a worker share what is remembered
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out, end, given = [], np.array([END], "<u4").tobytes(), texts(batch, "text")
-            for k in range(0, len(given), 500):
-                words.learn({w for t in given[k : k + 500] for w in t.split(" ")})
-                out += [words.encode(t) for t in given[k : k + 500]]
-            encoded, out = out, []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            given = batch.column("text").cast(pa.large_string()).fill_null("")
+            size, parts = np.cumsum(pc.binary_length(given).to_numpy()), []
+            at = 0
+            while at < len(given):
+                # a slice of about SLICE bytes, or one longer text
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE)))
+                parts.append(_cut(*words.encode(given[at:to]), capacity, at))
+                at = to
+            doc, *columns = (np.concatenate(x) for x in zip(*parts))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
         return step
 
@@ -233,33 +269,38 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_
 def best_fit(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PIECES with sequence_id and offset: best-fit decreasing in shards, then once more over their open sequences.
 
-    Documents are dealt to shards by a hash, so any source or copy group spreads evenly. A shard leaves its
-    unfilled sequences to a second best-fit pass over SHARDS shards, which only moves whole sequences; what
-    stays open is at most about one sequence for each SHARD * SHARDS pieces. A null or empty text is a document
-    of END alone. Repeated rows and null doc_ids are packed like any other row; equal lengths are placed in the
-    order of doc_id and piece. An empty table gives an empty table.
+    Pieces are dealt to shards of about SHARD by a hash of the row and of its place, so any source, copy group or
+    repeated row spreads evenly. A shard leaves its unfilled sequences to a second best-fit pass over SHARDS shards,
+    which only moves whole sequences; what stays open is at most about one sequence for each SHARD * SHARDS pieces. A
+    null or empty text is a document of END alone. Repeated rows and null doc_ids are packed like any other row; equal
+    lengths are placed in the order of doc_id and piece, null ids last. An empty table gives an empty table. Other
+    columns are not looked at.
     """
-    shards = max(1, docs.count() // SHARD)
-    dealt = pieces(docs, path, capacity, id_col, text_col).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((rows["piece"], rows["doc_id"], -rows["length"]))
-        rows["bin"], rows["offset"], used = _packed(rows["length"].to_numpy(), order, capacity)
-        rows["used"] = np.array(used)[rows["bin"]]
+    read = cut(pieces(docs, path, capacity, id_col, text_col))  # places in a written table stay as they are
+    shards = max(1, read.count() // SHARD)
+    dealt = read.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        piece, length = (rows.column(c).to_numpy() for c in ("piece", "length"))
+        doc = rows.column("doc_id").combine_chunks()
+        order = np.lexsort((piece, doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), -length))
+        number, offset, used = _packed(length, order, capacity)
+        for name, values in (("bin", number), ("offset", offset), ("used", np.array(used)[number])):
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
         return rows
 
-    packed = cut(dealt.groupBy("shard").applyInPandas(pack, f"{PIECES}, shard long, bin long, offset long, used long"))
+    packed = cut(dealt.groupBy("shard").applyInArrow(lambda rows: pack(rows), f"{PIECES}, shard long, bin long, offset long, used long"))
 
-    def again(rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((rows["bin"], rows["shard"], -rows["used"]))
-        number, rows["base"], _ = _packed(rows["used"].to_numpy(), order, capacity)
+    def again(rows: pa.Table) -> pa.Table:
+        shard, old, used = (rows.column(c).to_numpy() for c in ("shard", "bin", "used"))
+        order = np.lexsort((old, shard, -used))
+        number, base, _ = _packed(used, order, capacity)
         first = np.full(number.max() + 1, -1)
         first[number[order[::-1]]] = order[::-1]  # a joint sequence takes the name of its first part
-        rows["to_shard"], rows["to_bin"] = rows["shard"].to_numpy()[first[number]], rows["bin"].to_numpy()[first[number]]
-        return rows[["shard", "bin", "base", "to_shard", "to_bin"]]
+        return pa.table({"shard": shard, "bin": old, "base": base, "to_shard": shard[first[number]], "to_bin": old[first[number]]})
 
     unfilled = packed.where(F.col("used") < capacity).select("shard", "bin", "used").distinct()
-    moved = unfilled.groupBy(F.expr(f"shard div {SHARDS}").alias("g")).applyInPandas(lambda rows: again(rows), "shard long, bin long, base long, to_shard long, to_bin long")
+    moved = unfilled.groupBy(F.expr(f"shard div {SHARDS}").alias("g")).applyInArrow(lambda rows: again(rows), "shard long, bin long, base long, to_shard long, to_bin long")
     moved = moved.where("base > 0 or shard <> to_shard or bin <> to_bin")
     out = packed.join(moved, ["shard", "bin"], "left")
     sequence = F.shiftleft(F.coalesce("to_shard", "shard"), 32) + F.coalesce("to_bin", "bin")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -121,6 +122,28 @@ def test_second_pass_joins_shards(spark, monkeypatch):
     assert len(rows) == 400 and len({r["sequence_id"] for r in rows}) <= -(-total // 64) + 2
 
 
+def test_packing_forgets_and_learns_again():
+    words = packing.WordIds(WORDS, remembered=4)
+    given = ["one two three", "four five six seven", "", "one two three eight"]
+    first, again = (words.encode(pa.array([t], pa.large_string()))[0].tolist() for t in (given[0], given[0]))
+    ids, ends = words.encode(pa.array(given, pa.large_string()))
+    assert first == again == ids[: ends[1]].tolist() == [*ids[ends[3] : ends[4] - 2].tolist(), 1] and ids[ends[2] : ends[3]].tolist() == [1]
+
+
+def test_packing_keeps_large_ids_beside_null_ones_and_spreads_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "a"), (None, "b"), (None, None)] + [(None, "same")] * 300, "doc_id long, text string").repartition(3)
+    rows = packing.best_fit(df, WORDS, 8).collect()
+    assert sorted((r["doc_id"] for r in rows), key=str).count(big) == 1 and sum(r["doc_id"] is None for r in rows) == 302
+    assert len({r["sequence_id"] >> 32 for r in rows}) > 3
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 8 and len(ends) <= -(-sum(r["length"] for r in rows) // 8) + 2
+
+
 # SimHash
 
 
