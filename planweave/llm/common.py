@@ -24,18 +24,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder takes its place.
+    Only on one machine (tests, a laptop) a temporary folder takes its place where that setting is absent.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="planweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="planweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders of the tables that cut() wrote, by the application that wrote them.
+_written: dict[str, list[str]] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df once to the shared folder."""
+    """Cuts the lineage: writes df once to the shared folder. drop() deletes what is no longer needed, clean() the rest."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(_folder_of(out))
+    return out
+
+
+def _folder_of(df: DataFrame) -> str:
+    return df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more."""
+    for df in tables:
+        path, spark = _folder_of(df), df.sparkSession
+        delete(spark, path)
+        own = _written.get(spark.sparkContext.applicationId, [])
+        if path in own:
+            own.remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that the operators of this session wrote in between; results that were not stored yet are lost."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
 
 
 def ship(spark: SparkSession) -> None:

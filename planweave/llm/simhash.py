@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hex64, per_batch, texts
+from . import near_copies
+from .common import cut, drop, hex64, per_batch, texts
 from .components import connected_components, label
 
 SEED = 42
@@ -136,6 +137,16 @@ def _links(buckets: DataFrame, distance: int) -> DataFrame:
     return per_batch(buckets.groupBy("part", "key").agg(F.collect_list(F.struct("node", "fp")).alias("items")).select("items"), "a long, b long", make)
 
 
+def links_within(nodes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): stars that connect the nodes (node, fp) exactly as links of at most `distance` bits do; fingerprints differ."""
+    group = Window.partitionBy("part", "key")
+    keyed = _keyed(nodes, 2 + distance, distance) if 64 % (2 + distance) == 0 else _keyed(nodes, 8, distance)
+    keyed = cut(keyed.withColumn("n", F.count("*").over(group)).where("n > 1"))
+    wide = keyed.where(F.col("n") > WIDE).select("node", "fp").distinct()
+    finer = _keyed(wide, 8, distance).withColumn("n", F.count("*").over(group)).where("n > 1")
+    return _links(keyed.where(F.col("n") <= WIDE), distance).union(_links(finer, distance))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id reachable over links.
 
@@ -148,19 +159,50 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = cut(fingerprints(docs, id_col, text_col, words))
     nodes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    group = Window.partitionBy("part", "key")
-    keyed = _keyed(nodes, 2 + distance, distance) if 64 % (2 + distance) == 0 else _keyed(nodes, 8, distance)
-    keyed = cut(keyed.withColumn("n", F.count("*").over(group)).where("n > 1"))
-    wide = keyed.where(F.col("n") > WIDE).select("node", "fp").distinct()
-    finer = _keyed(wide, 8, distance).withColumn("n", F.count("*").over(group)).where("n > 1")
-    links = _links(keyed.where(F.col("n") <= WIDE), distance).union(_links(finer, distance))
-    groups = connected_components(links)
+    groups = connected_components(links_within(nodes, distance))
     of = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = prints.join(of, "fp", "left")
     return out.select("doc_id", hex64("fp").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose doc_id is the smallest of its group of near-copies; rows without a doc_id stay."""
-    kept = simhash_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+def _other(name: str, columns: list[str]) -> str:
+    """name, or a longer one that is not among the columns."""
+    while name.lower() in [c.lower() for c in columns]:
+        name += "_"
+    return name
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
+    """One row, with all its columns, of each group of near-copies: the one of the smallest doc_id.
+
+    Near-copies are linked by a Jaccard similarity of at least 0.8 on five-word shingles, over any number of steps: SimHash
+    fingerprints of the shingles at most `distance` bits apart, found by their pivot distance tables, are verified
+    exactly, and near_copies adds the links that such fingerprints can't reach. Rows without a doc_id are members like
+    any other and stay only where no other member has one; ties go to the smaller hash of the text, and of rows equal in
+    doc_id and text any one stays. A null text is empty; texts without words are copies of each other. An empty table
+    gives an empty table.
+    """
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keys = cut(near_copies.keyed(given))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("hash").alias("hash"))
+    nodes = cut(keys.groupBy("node").agg(F.min("hash").alias("hash"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("blocks").alias("blocks"), F.min(order).alias("first")))
+    same = links_within(nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("node")), distance)
+    stars = nodes.where("size > 0").select("fp", "node").join(nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("hub")), "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    groups = near_copies.components(given.select("text"), nodes, same.union(stars))
+    kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first")).select("first.doc_id", "first.hash")
+    counted = keys.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).alias("x")
+    is_kept = F.col("y.hash").isNotNull()
+    counted = counted.join(kept.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.hash") == F.col("y.hash")), "left").select("x.doc_id", "x.hash", is_kept.alias("repeated"), F.col("n") > 1)
+    gone = cut(counted.toDF("doc_id", "hash", "kept", "several").where("not kept or several"))  # rows that don't stay as they are
+    number = _other("hash", docs.columns)
+    rows = docs.withColumn(number, hashed)
+    gone_id, gone_hash = F.col("gone.doc_id"), F.col("gone.hash")
+    meet = rows[id_col].cast("long").eqNullSafe(gone_id) & (rows[number] == gone_hash)
+    listed = lambda df: (F.broadcast(df) if df.count() <= near_copies.BROADCAST else df).alias("gone")
+    out = rows.join(listed(gone), meet, "left_anti")
+    several = gone.where("kept")
+    if not several.isEmpty():
+        out = out.unionByName(rows.join(listed(several), meet, "left_semi").dropDuplicates([id_col, number]))
+    drop(keys, nodes, groups)
+    return out.select(docs.columns)

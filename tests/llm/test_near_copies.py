@@ -38,9 +38,9 @@ def near_texts(seed=5):
     return out
 
 
-@pytest.mark.parametrize("wide, rounds, common", [(64, 4, 8), (2, 2, 1), (2, 0, 8)])
-def test_near_duplicates_stage_is_brute_force(spark, monkeypatch, wide, rounds, common):
-    for name, value in (("WIDE", wide), ("ROUNDS", rounds), ("COMMON", common), ("PARTS", 2)):
+@pytest.mark.parametrize("wide, rounds, common, side", [(64, 4, 8, 512), (2, 2, 1, 3), (2, 0, 8, 2)])
+def test_near_duplicates_stage_is_brute_force(spark, monkeypatch, wide, rounds, common, side):
+    for name, value in (("WIDE", wide), ("ROUNDS", rounds), ("COMMON", common), ("PARTS", 2), ("SIDE", side)):
         monkeypatch.setattr(near_copies, name, value)
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", F.lit("x")).repartition(3)
@@ -51,6 +51,25 @@ def test_near_duplicates_stage_is_brute_force(spark, monkeypatch, wide, rounds,
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.tolist()))
 
 
+def test_block_distances_never_exceed_the_true_one():
+    rng = np.random.default_rng(3)
+    for n in (1, 20, 5000, 60_000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**64, n // 10, dtype=np.uint64)]))
+        x, y = (np.frombuffer(near_copies.blocks(v), np.uint8).astype(int) for v in (a, b))
+        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    text, other = "one two three four five six seven", "something else altogether in this row here"
+    rows = [(3, text, 1), (5, text, 2), (5, other, 3), (5, other, 4), (None, text, 5), (None, "no id at all", 6), (None, "No id at\tall", 7), (9, None, 8), (10, " ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Hash int").repartition(3)
+    kept = corpus_pipeline.near_duplicates_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in kept.collect()), key=str)
+    assert got == sorted([(3, text.split()), (5, other.split()), (None, "no id at all".split()), (9, [])], key=str)
+
+
 def test_near_duplicates_stage_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert corpus_pipeline.near_duplicates_stage(spark, docs, "").count() == 0
