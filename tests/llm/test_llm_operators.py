@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -191,7 +192,9 @@ def test_one_of_each(docs):
     assert kept.where("text = 'same same'").count() == 1 and kept.where("doc_id is null").count() == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [components.AT_ONCE, 0])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     rng = random.Random(6)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
@@ -312,7 +315,7 @@ def test_html_wrapper(spark):
     for i in range(6):
         assert got[i]["text"] == f"Title {i}\nFirst & {i} bold text more lines\na < b <i> {i}\none {i}\ntwo {i}"  # the kicker is template
     assert got[10]["text"] == "" and got[10]["n_chars"] == 0
-    assert got[11]["text"] == "plain < text" and got[12]["text"] == "in\ndeep" and got[13]["text"] == "unclosed" and got[14]["text"] == "<"
+    assert got[11]["text"] == "plain < text" and got[12]["text"] == "in\ndeep\nout" and got[13]["text"] == "unclosed" and got[14]["text"] == "<"
     assert html_text.extract(df.where("false")).count() == 0
 
 
@@ -321,11 +324,137 @@ def test_pages_that_all_look_alike_keep_their_text(spark):
     assert {r["text"].split("\n")[-1] for r in html_text.extract(df).collect()} == {"two 1"}
 
 
+def tree(page):
+    return html_text.skeleton(html_text.parse(page))[1]
+
+
 def test_tree_matching():
-    a, b = html_text.parse("<div><p>x</p><p>y</p><ul><li>k</ul></div>"), html_text.parse("<div><p>y</p><ul><li>k<li>l</ul></div>")
-    size, pairs = html_text.match(a, b)
-    # root, div, p, ul, li, and the equal texts y and k, each counted twice
-    assert size == 9 and len(pairs) == 6
+    a, b = tree("<div><p>x</p><p>y</p><ul><li>k</ul></div><div>z</div>"), tree("<section>n</section><div><h2>t</h2><p>y</p><ul><li>k<li>l</ul></div>")
+    pairs = [(a.labels[i], b.labels[j]) for i, j in enumerate(html_text.match(a, b)) if j >= 0]
+    assert pairs == [("#", "#"), ("div", "div"), ("p", "p"), ("ul", "ul"), ("li", "li")]  # repeated p and li are one node
+    assert html_text.match(a, a) == list(range(len(a.labels)))
+
+
+def slow_match(a, b, i=0, j=0):
+    if a.labels[i] != b.labels[j]:
+        return 0
+    xs, ys = a.children[i], b.children[j]
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for m, x in enumerate(xs):
+        for n, y in enumerate(ys):
+            best[m + 1][n + 1] = max(best[m][n] + slow_match(a, b, x, y), best[m][n + 1], best[m + 1][n])
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_is_the_largest_one(monkeypatch):
+    rng = random.Random(9)
+
+    def grown(n):
+        t = html_text.Tree(["#"], [-1])
+        for _ in range(n):
+            parent = rng.randrange(len(t.labels))
+            t.add(rng.choice("abc"), parent, rng.randint(0, len(t.children[parent])))
+        return t
+
+    for _ in range(60):
+        a, b = grown(14), grown(14)
+        to = html_text.match(a, b)
+        used = [j for j in to if j >= 0]
+        assert len(used) == len(set(used)) == slow_match(a, b)
+        assert all(a.labels[i] == b.labels[j] and (i == 0 or to[a.parents[i]] == b.parents[j]) for i, j in enumerate(to) if j >= 0)
+    monkeypatch.setattr(html_text, "PAIRS", 0)  # by places alone: still a pairing in order
+    for _ in range(60):
+        a, b = grown(14), grown(14)
+        to = html_text.match(a, b)
+        for k, own in enumerate(a.children):
+            at = [b.children[to[k]].index(to[x]) for x in own if to[x] >= 0]
+            assert at == sorted(set(at))
+    assert html_text.match(a, a) == list(range(len(a.labels)))
+
+
+def neutral(k, rng, notice=True):
+    """A page without a telling element or class, and its article."""
+    words = lambda n: " ".join(rng.choice("abcdefgh") * 4 + str(rng.randint(0, 99)) for _ in range(n))
+    blocks = [f"{words(5)} {k}", *(words(rng.randint(15, 40)) for _ in range(rng.randint(2, 6)))]
+    menu = "".join(f'<div><a href="/{j}">{words(2)}</a></div>' for j in range(rng.randint(3, 6)))
+    body = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{x}</p>" for x in blocks[1:])
+    aside = f"<div class=xb><div>{words(6)}</div></div>" if notice else ""
+    return f"<body><div class=xa>{menu}</div>{aside}<div class=xc>{body}<p>All rights with the house.</p></div><div class=xd>{words(4)}<div>{words(2)}</div></div></body>", "\n".join(blocks)
+
+
+def test_the_wrapper_alone_tells_template_from_content(spark, monkeypatch):
+    rng = random.Random(11)
+    made = {(h, k): neutral(k, rng, rng.random() < 0.6) for h, n in (("many", 40), ("few", 2)) for k in range(n)}
+    rows = [(k + 1000 * (h == "few"), f"http://{h}.example/{k}", page) for (h, k), (page, _) in made.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    monkeypatch.setattr(html_text, "SKELETONS", 2)  # the other skeletons are aligned all the same
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert all(got[k] == made["many", k][1] for k in range(40))
+    # two pages are no statistics: menus go as links, the rest stays
+    assert all(made["few", k][1] in got[1000 + k] and "All rights" in got[1000 + k] for k in range(2))
+    keep = html_text.wrappers(df).where("host = 'many.example'").collect()
+    assert len(keep) >= 2 and all(not all(r["keep"]) and len(r["template"]) == 1 for r in keep)
+
+
+def test_every_host_of_the_table_has_a_wrapper(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    found = {r["host"]: r["keep"] for r in html_text.wrappers(pages).collect()}
+    assert all(any(k) and not all(k) for k in found.values()) and len(found) > 1
+
+
+class Article(__import__("html.parser").parser.HTMLParser):
+    """Texts in article elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks = 0, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append([])
+        if tag == "br":
+            self.blocks[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.depth:
+            self.blocks[-1].append(data)
+
+
+def test_html_text_is_the_article_of_every_page(spark):
+    pages = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/pages.parquet")
+    got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r["html"] or "")
+        parser.close()
+        blocks = [" ".join("".join(x).split()) for x in parser.blocks]
+        text = "\n".join(x for x in blocks if x)
+        assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (text, len(text))
+
+
+def test_deep_and_wide_markup_takes_time_in_proportion(spark):
+    n = 100_000
+    odd = "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}>t{k}</div>" for k in range(3000))
+    pages = ["<div>" * n + "deep", "<div></div>" * n + "wide", "<li>x" * n, odd, "<div>" * n + "</section>" * n + "left", "<a " * n, "<b class=ad>" * 2000 + "y", "<table>" * 2000 + "<td>z" * 2000]
+    rows = [(3 * k + j, f"http://h{k}/{j}", p + f"<p>{j}") for k, p in enumerate(pages) for j in range(3)]
+    began = time.time()
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert time.time() - began < 120
+    assert got[0] == "0" and got[3] == "0" and got[12].endswith("0")
+
+
+def test_words_of_a_class_never_cost_the_article(spark):
+    prose = "A paragraph that is long enough to be the main text of a page, if there is no other. " * 4
+    pages = [f'<body class="search"><h1>T</h1><p>{prose}</p></body>', f'<div class="widget post"><p>{prose}</p></div>', "<p><a href=x>a long link</a> tail</p>", f'<p>one <span class="ad">x</span> two</p><div class="ad">y</div><article class="promo"><h1>T</h1></article>']
+    df = spark.createDataFrame([(k, f"http://h{k}/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = [r["text"] for r in html_text.extract(df).orderBy("page_id").collect()]
+    assert got == [f"T\n{prose.strip()}", prose.strip(), "a long link tail", "one two\nT"]
 
 
 # secrets
