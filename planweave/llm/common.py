@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import zipfile
@@ -43,10 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df once to the shared folder. drop() deletes what is no longer needed, clean() the rest."""
     shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(_folder_of(out))
+    app = df.sparkSession.sparkContext.applicationId
+    if app not in _written:
+        atexit.register(_clean_at_exit, df.sparkSession)
+    _written.setdefault(app, []).append(_folder_of(out))
     return out
 
 
+def _clean_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        clean(spark)
+
+
 def _folder_of(df: DataFrame) -> str:
     return df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
 
@@ -102,15 +112,30 @@ def held(owner: str, key: Any, build: Callable[[], Any]) -> Any:
     return own[key]
 
 
-def per_batch(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
-    """Runs make() once a task and the function it returns once an Arrow batch."""
+#: Rows that a step gets at once, so that what it makes of them stays small.
+ROWS = 1000
+
+
+def _free() -> None:
+    """Gives the memory that a task has left to the system: the executor's next task may run in another process."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def per_batch(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], rows: int | None = ROWS) -> DataFrame:
+    """Runs make() once a task and the function it returns once for at most `rows` rows, or a whole Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(make.__module__, None, lambda: None)
         step = make()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield out
+            size = rows or batch.num_rows
+            for k in range(0, batch.num_rows, max(1, size)):
+                if (out := step(batch.slice(k, size))) is not None:
+                    yield out
+        del step
+        _free()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, drop, ship
 
 
 def label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -24,30 +26,47 @@ def label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _forest(batches):
-    """The links of each batch as stars, which hold the same connections in at most as many rows."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (batch.column(k).to_numpy() for k in ("a", "b"))
+#: Links that one task contracts at once.
+AT_ONCE = 2**20
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links as stars, AT_ONCE of them together, which hold the same connections in at most as many rows."""
+    held: list[pa.RecordBatch] = []
+
+    def stars() -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) if held else np.zeros(0, np.int64) for k in ("a", "b"))
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         root = label(len(nodes), at[: len(a)], at[len(a) :])
         own = root != np.arange(len(nodes))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["a", "b"])
+        held.clear()
+
+    for batch in batches:
+        if held and sum(x.num_rows for x in held) + batch.num_rows > AT_ONCE:
+            yield from stars()
+        held.append(batch)
+    yield from stars()
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of a link, with the smallest node that it is connected to.
 
     Nodes are longs. Links with a null end are ignored, self-links and repeated links do no harm, an empty
-    table gives an empty table. Each round is two partially aggregated minima and two equi-joins, cut off
-    by a checkpoint; rounds grow with the logarithm of the longest path.
+    table gives an empty table. First every task contracts its links to stars; AT_ONCE links or fewer are one task's,
+    which is the end of it. Else each round is two partially aggregated minima and two equi-joins, cut off by a
+    checkpoint; rounds grow with the logarithm of the longest path.
     """
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     ship(links.sparkSession)
     links = cut(links.mapInArrow(_forest, "a long, b long").distinct())
     size = None
+    if links.count() <= AT_ONCE:
+        before, links = links, cut(links.coalesce(1).mapInArrow(_forest, "a long, b long"))
+        drop(before)
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
     while True:
+        before = links
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         links = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -55,6 +74,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         links = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
         links = cut(links.select("x.a", "x.b").where("a <> b").distinct())
+        drop(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == size:
             break

@@ -263,7 +263,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_
 
         return step
 
-    return per_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), PIECES, make)
+    return per_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), PIECES, make, rows=None)
 
 
 def best_fit(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
