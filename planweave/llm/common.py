@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +147,74 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+class Ragged:
+    """Rows of different lengths, by number."""
+
+    def __init__(self, kind: str):
+        self.values, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def add(self, rows: list[bytes]) -> None:
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // self.values.itemsize
+        self.extend(np.frombuffer(b"".join(rows), self.values.dtype), np.cumsum(lengths))
+
+    def extend(self, values: np.ndarray, ends: np.ndarray) -> None:
+        """Further rows, one after another, and where each ends."""
+        self.values, self.ends = np.concatenate([self.values, values]), np.concatenate([self.ends, self.ends[-1] + ends])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows one after another, and where each ends."""
+        length = (self.ends[1:] - self.ends[:-1])[numbers]
+        to = np.cumsum(length)
+        # value k of a row is as far from its row's first value there as here
+        return self.values[np.repeat(self.ends[numbers] - to + length, length) + np.arange(to[-1] if len(to) else 0)], to
+
+
+class Remembered:
+    """What was made of texts, as rows of bytes, in two generations: what is not asked for while a generation fills is forgotten.
+
+    A generation holds `most` texts, and more only if they are asked for at once.
+    """
+
+    def __init__(self, kinds: tuple[str, ...], most: int, make: Callable[[list[str]], list[list[bytes]]]):
+        self.kinds, self.most, self.make = kinds, most, make
+        self.known, self.rows = {}, [Ragged(k) for k in kinds]
+        self.old, self.old_rows = {}, self.rows
+
+    def _add(self, keys: list[str], rows: list[list[bytes]]) -> None:
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
+        for own, new in zip(self.rows, rows):
+            own.add(new)
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """The numbers of different texts, by which self.rows has what was made of them."""
+        new = [k for k in keys if k not in self.known]
+        if self.known and len(self.known) + len(new) > self.most:
+            self.old, self.old_rows = self.known, self.rows
+            self.known, self.rows, new = {}, [Ragged(k) for k in self.kinds], keys
+        again = [k for k in new if k in self.old]
+        if again:
+            at = np.fromiter(map(self.old.__getitem__, again), np.int64, len(again))
+            self.known.update(zip(again, range(len(self.known), len(self.known) + len(again))))
+            for own, before in zip(self.rows, self.old_rows):
+                own.extend(*before.gather(at))
+            new = [k for k in new if k not in self.known]
+        for k in range(0, len(new), 100_000):
+            self._add(new[k : k + 100_000], self.make(new[k : k + 100_000]))
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+
+
+def slices(given: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of about `size` bytes of text, or of one longer text."""
+    ends, at = np.cumsum(pc.binary_length(given).to_numpy()), 0
+    while at < len(given):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+        yield at, given[at:to]
+        at = to
+
+
 def hex64(c: Column | str) -> Column:
     """The 64 bits of a long as 16 lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(c)), 16, "0")

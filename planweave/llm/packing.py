@@ -13,14 +13,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, per_batch
+from .common import Remembered, cut, held, per_batch, slices
 
 #: The id that ends each document.
 END = 1
 #: Pieces packed together by one task, and shards whose open sequences are packed again together.
 SHARD, SHARDS = 16_384, 64
-#: Words whose ids a worker remembers at once, and bytes of text that it takes at once (or one longer text).
-REMEMBERED, SLICE = 1_000_000, 2**24
+#: Words of a generation that a worker remembers, and bytes of text that it takes at once (or one longer text).
+REMEMBERED, SLICE = 400_000, 2**22
 #: Bytes of the longest word merged here; the rank of a pair that does not merge.
 WIDTH, _NONE = 64, np.iinfo(np.int32).max
 
@@ -35,17 +35,14 @@ _END, _STOPS = "</w>", {".", ","}
 class WordIds:
     """Ids of texts by a tokenizer file of the word-end kind, whose pieces never cross a space.
 
-    Each different word is encoded once and remembered by a number. Plain words are merged here, many at once; any
+    Each different word is encoded once and remembered. Plain words are merged here, many at once; any
     other goes through the library, as does everything if the file's settings are not the ones known here.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        self._keep([])
+        self.tokenizer, self.words = Tokenizer.from_file(path), Remembered(("<u4",), remembered, lambda words: [self._ids(words)])
         spec = json.loads(self.tokenizer.to_str())
         model, split = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -62,15 +59,6 @@ class WordIds:
             self.inner = np.array([ids[c] for c in shown], np.int32)
             self.last = np.array([ids[c + _END] for c in shown], np.int32)
 
-    def _keep(self, words: list[str]) -> None:
-        """Forgets all but these. Word 0 is the end of a document."""
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        length = self.ends[at + 1] - self.ends[at]
-        to = np.cumsum(length)
-        self.ids = np.concatenate([np.array([END], "<u4"), self.ids[np.repeat(self.ends[at + 1] - to, length) + np.arange(length.sum())]])
-        self.ends = np.concatenate([[0, 1], 1 + to])
-        self.known = dict(zip(words, range(1, len(words) + 1)))
-
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs; those outside the merge table get the largest one."""
         key = a.astype(np.int64) * self.factor + b
@@ -122,39 +110,28 @@ class WordIds:
             done.update(zip(part, self._merge(part)))
         return [done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws]) for ws in matched]
 
-    def _learn(self, new: list[str]) -> None:
+    def _ids(self, words: list[str]) -> list[bytes]:
         plain, rest = [], []
-        for w in new:
-            (plain if self.merged_here and len(w) <= WIDTH // 2 and (w.isascii() or _PLAIN.fullmatch(w)) and "<" not in w else rest).append(w)
-        found: list[bytes] = []
-        for k in range(0, len(plain), 50_000):
-            found += self._plain(plain[k : k + 50_000])
-        for k in range(0, len(rest), 1_000):
-            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest[k : k + 1_000], add_special_tokens=False)]
-        self.known.update(zip(plain + rest, range(len(self.ends) - 1, len(self.ends) - 1 + len(found))))
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The numbers of different words."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self._keep([w for w in words if w in self.known])
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for k, w in enumerate(words):
+            (plain if self.merged_here and len(w) <= WIDTH // 2 and (w.isascii() or _PLAIN.fullmatch(w)) and "<" not in w else rest).append(k)
+        found = [b""] * len(words)
+        for k, ids in zip(plain, self._plain([words[k] for k in plain])):
+            found[k] = ids
+        for at in range(0, len(rest), 1_000):
+            part = rest[at : at + 1_000]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False)):
+                found[k] = np.array(e.ids, "<u4").tobytes()
+        return found
 
     def encode(self, given: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with END after it, and where each text ends, from 0 on)."""
         words = pc.split_pattern(given, " ")
         coded, ends = words.flatten().dictionary_encode(), words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
-        number = np.insert(self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()], ends, 0)
-        length = (self.ends[1:] - self.ends[:-1])[number]
-        to = np.cumsum(length)
-        # id k of a word is as far from its word's first id there as here
-        ids = self.ids[np.repeat(self.ends[number] - to + length, length) + np.arange(to[-1] if len(to) else 0)]
-        return ids, np.concatenate([[0], to[ends + np.arange(len(ends))]])
+        number = self.words.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ids, to = self.words.rows[0].gather(number)
+        # END after the last word of each text
+        to = np.concatenate([[0], to])[ends]
+        return np.insert(ids, to, END), np.concatenate([[0], to + np.arange(1, len(to) + 1)])
 
 
 def _letters(chunk: str) -> list[bytes] | None:
@@ -250,13 +227,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             given = batch.column("text").cast(pa.large_string()).fill_null("")
-            size, parts = np.cumsum(pc.binary_length(given).to_numpy()), []
-            at = 0
-            while at < len(given):
-                # a slice of about SLICE bytes, or one longer text
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE)))
-                parts.append(_cut(*words.encode(given[at:to]), capacity, at))
-                at = to
+            parts = [_cut(*words.encode(part), capacity, at) for at, part in slices(given, SLICE)]
             doc, *columns = (np.concatenate(x) for x in zip(*parts))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -54,7 +54,8 @@ def test_bpe_is_tiktoken(docs):
         assert r["ids"] == enc.encode_ordinary(want[r["doc_id"]]) and bytes(r["decoded"]).decode() == want[r["doc_id"]]
     for r in bpe.digests(docs, RANKS, P.PATTERN).collect():
         ids = np.array(enc.encode_ordinary(want[r["doc_id"]]), "<u4")
-        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        back = hashlib.sha256(b"".join(enc.decode_single_token_bytes(k) for k in ids.tolist())).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), back)
 
 
 def test_bpe_decodes_what_it_encoded(docs, none):
@@ -66,9 +67,24 @@ def test_bpe_decodes_what_it_encoded(docs, none):
 
 def test_bpe_forgets_and_learns_again():
     merger = bpe.Merger(RANKS, P.PATTERN, remembered=5)
-    given = ["one two three", "four five six seven", "one two three"]
-    got = merger.encode_all(given)
-    assert got[0] == got[2] and [b.decode() for _, b in got] == given
+    for given in (["one two three", "four five six seven"], ["one two three eight"], ["nine ten one", "one two three"], ["one two three"]):
+        ids, to, decoded, ends = merger.encode(pa.array(given, pa.large_string()))
+        assert [decoded[x:y].tobytes().decode() for x, y in zip(ends, ends[1:])] == given and len(to) == len(ends)
+        assert merger.chunks.known.keys() >= {"two", "three"} or "ten" in merger.chunks.known
+
+
+def test_bpe_of_hard_words_is_tiktoken():
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks, rng = bpe.load_ranks(RANKS), random.Random(1)
+    enc, merger = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Merger(RANKS, P.PATTERN)
+    english = "".join(c for t in TEXTS if t for c in t if c.isalpha()) + "thequickbrownfoxjumpsoverthelazydogandthenrunsbackhomeagain" * 30
+    texts = ["x" * 3000, "ab" * 5000, "aab" * 3000, english, "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))]
+    texts += ["".join(rng.choice("abetho in.,\n'sÀ") for _ in range(rng.randint(0, 300))) for _ in range(300)]
+    began = time.time()
+    ids, to, decoded, ends = merger.encode(pa.array(texts, pa.large_string()))
+    assert time.time() - began < 60
+    for k, t in enumerate(texts):
+        assert ids[to[k] : to[k + 1]].tolist() == enc.encode_ordinary(t) and decoded[ends[k] : ends[k + 1]].tobytes().decode() == t
 
 
 # best-fit packing
