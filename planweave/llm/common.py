@@ -142,7 +142,7 @@ def per_batch(df: DataFrame, schema: T.StructType | str, make: Callable[[], Call
     return df.mapInArrow(run, schema)
 
 
-def texts(batch: pa.RecordBatch, column: str) -> list[str]:
+def texts(batch: pa.RecordBatch, column: str | int) -> list[str]:
     """The column as str, null as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]
 
@@ -234,12 +234,29 @@ def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.isfinite(out).all(axis=1) & (width > 0)
 
 
+def place(columns: list[str], name: str) -> int:
+    """Where the column is: the one spelled like that, else the only one that differs in case alone."""
+    if columns.count(name) == 1:
+        return columns.index(name)
+    like = [k for k, c in enumerate(columns) if c.lower() == name.lower()]
+    if len(like) != 1:
+        raise ValueError(f"{len(like)} columns are named {name!r}: {columns}")
+    return like[0]
+
+
+def column(df: DataFrame, name: str, alias: str = "text") -> DataFrame:
+    """The column alone, whatever names the others have."""
+    at = place(df.columns, name)
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).select(F.col(f"c{at}").alias(alias))
+
+
 def filtered(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """The rows, with all their columns, whose texts the function that make() returns keeps; null texts are empty."""
+    at = place(df.columns, text_col)
 
     def rows() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         keep = make()
-        return lambda batch: batch.filter(pa.array(keep(texts(batch, text_col)), pa.bool_()))
+        return lambda batch: batch.filter(pa.array(keep(texts(batch, at)), pa.bool_()))
 
     rows.__module__ = make.__module__
     return per_batch(df, df.schema, rows)

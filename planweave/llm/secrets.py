@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts
+from .common import column, per_batch, place, texts
 
 #: Fixed patterns, the group that counts, and its least length.
 BASE = {
@@ -23,12 +23,14 @@ KINDS = (*BASE, "random")
 #: Finds all matches of the pattern `hex` that are long enough, and no others.
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _WORD = re.compile(r"[A-Za-z][a-z]{2,30}")
+#: Characters of a span of the models at least.
+LEAST = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 #: Characters of the models; anything else ends a string.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = {c: k for k, c in enumerate(ALPHABET)}
-#: Rows whose words are the samples labelled ordinary (those of the smallest hashes), strings labelled random.
+#: Texts whose words are the samples labelled ordinary (those of the smallest hashes), strings labelled random.
 SAMPLE, RANDOM = 2000, 4000
 #: Least log-likelihood ratio of a span, in all and by character.
 TOTAL, EACH = 14.0, 0.5
@@ -77,13 +79,14 @@ def identifiers(words: list[str]) -> list[str]:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts the transitions of ordinary strings by Spark in at most SAMPLE rows; the driver gets their sums.
+def fit(docs: DataFrame, text_col: str = "text") -> Model:
+    """Counts the transitions of ordinary strings by Spark in at most SAMPLE different texts, whatever the rows' ids; the driver gets their sums.
 
-    With no rows all ordinary transitions are alike.
+    With no texts all ordinary transitions are alike.
     """
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = docs.select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(SAMPLE)
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(F.broadcast(some), "h").dropDuplicates(["h"]).select("text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,14 +120,18 @@ def base_spans(text: str) -> list[Span]:
 
 
 def all_spans(text: str, model: Model, base: list[Span]) -> list[Span]:
-    """The base spans and those of the models, which never touch a base span."""
+    """The base spans and those of the models, which never touch a base span: of a run that does, the rest is judged part by part."""
     out = list(base)
     for m in _CANDIDATE.finditer(text):
         x, y = m.span()
-        if any(x < e and s < y for _, s, e in base):
-            continue
-        if (ratio := model.of(m[0])) >= TOTAL and ratio >= EACH * (y - x):
-            out.append(("random", x, y))
+        parts = []
+        for _, s, e in base:
+            if x < e and s < y:
+                parts.append((x, s))
+                x = max(x, e)
+        for a, b in [*parts, (x, y)]:
+            if b - a >= LEAST and (ratio := model.of(text[a:b])) >= TOTAL and ratio >= EACH * (b - a):
+                out.append(("random", a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -138,7 +145,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Positions are code points, ends are exclusive. A null text is empty and has no spans (the digest is that of
     the empty string). Equal texts give equal spans; null doc_ids and repeated rows are kept.
     """
-    model = fit(docs, id_col, text_col)
+    model = fit(docs, text_col)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,13 +173,17 @@ def masked(text: str, spans: list[Span], mask: str = "[SECRET]") -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, with the secrets masked in the text; a null text stays null. Needs a string column text_col."""
-    model = fit(docs, id_col, text_col)
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of docs, with the secrets masked in the text; a null text stays null. Needs a string column text_col.
+
+    Of columns whose names differ in case alone the one spelled text_col counts. Null ids and repeated rows are kept, an
+    empty table gives an empty table.
+    """
+    at = place(docs.columns, text_col)
+    model = fit(column(docs, text_col))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at = batch.schema.get_field_index(text_col)
             new = [None if t is None else masked(t, all_spans(t, model, base_spans(t))) for t in batch.column(at).to_pylist()]
             return batch.set_column(at, batch.schema.field(at).name, pa.array(new, pa.string()))
 
