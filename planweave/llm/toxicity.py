@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,23 +84,27 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fitted on at most SAMPLE labelled rows that aren't held out, those of the smallest hashes.
 
-    The voters' rates are counted by Spark; the driver gets the PATTERNS best ones and, for each sampled row,
-    which of them it has. Without labelled rows of both kinds the lexicon alone decides.
+    Of several texts of one doc_id the one of the smallest hash counts, of several labels the toxic one; null ids and
+    labels don't count. The voters' rates are counted by Spark; the driver gets the PATTERNS best ones and, for each
+    sampled row, which of them it has. Without labelled rows of both kinds the lexicon alone decides.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id"))
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in SAMPLE.items()]
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most the sum of SAMPLE
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [sorted(with_counts(i for w in words_of(t) for i in word_ids(w))) for t in texts(batch, "text")]
-            return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([zlib.crc32(np.array(x).tobytes()) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["toxic", "same", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([xxhash.xxh128_digest(np.array(x, np.int64).tobytes()) for x in ids], pa.binary()), pa.array(ids, pa.list_(pa.int64()))], ["toxic", "same", "ids"])
 
         return step
 
-    rows = cut(per_batch(rows, "toxic int, same long, ids array<long>", make).dropDuplicates(["toxic", "same"]))
+    # rows of the same words count once
+    rows = cut(per_batch(rows.select("toxic", "text"), "toxic int, same binary, ids array<long>", make).dropDuplicates(["toxic", "same"]))
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -161,7 +166,10 @@ def _scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row from its whole text alone; null texts are empty, an empty text has a score too."""
+    """(doc_id, score) of every row from its whole text alone; null texts are empty, an empty text has a score too.
+
+    Null ids and repeated rows are kept, an empty table gives an empty table.
+    """
 
     def make():
         scores = _scorer(model)
@@ -171,7 +179,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that score below the threshold; no row is shuffled."""
+    """The rows, with all their columns, that score below the threshold; no row is shuffled.
+
+    A null text is empty; rows with equal texts stay or go together, whatever their ids. An empty table gives an empty
+    table, empty labels the lexicon's model.
+    """
     model = fit(docs, labels, id_col, text_col)
 
     def make():
