@@ -8,6 +8,7 @@ best share by the exact distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vector_search import Best, asked_of, classes, expand, matrix, padded, search
+from .vector_search import Best, asked_of, classes, expand, matrix, padded, search, usable, widths
 
 #: Pivots (the different vectors of the smallest hashes), nearest pivots that a vector is posted under.
 PIVOTS, NEAREST = 256, 96
@@ -57,15 +58,21 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
     """(query_id, rank, vec_id, score): the k rows of the smallest Euclidean distance found for each query.
 
     Queries are the rows whose id is divisible by `every`, each against all rows but its own; equal distances go
-    to the smaller id. Null, zero and non-finite vectors, those of an unusual length and rows without an id take
-    no part. Rows with the same id count as one row's. All rows are indexed and every task reranks SHARE of its
+    to the smaller id. Null, empty, zero and non-finite vectors and rows without an id take no part; vectors of
+    different lengths never meet. Rows with the same id and vector count once. All rows are indexed and every task reranks SHARE of its
     rows, but LEAST at least, so a query finds fewer than k rows only where there are fewer.
     """
+    given = usable(rows, id_col, vector_col)
+    parts = [_nearest(given.where(F.size("x") == n), k, every) for n in widths(given)]
+    return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(given: DataFrame, k: int, every: int) -> DataFrame:
+    """nearest() of vectors of one length."""
     same = lambda x: x
-    index = cut(classes(rows, k + 1, id_col, vector_col, same, zero=False))
+    index = cut(classes(given, k + 1, same, zero=False))
     sample = index.orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect()
     pivots = matrix([bytes(r["v"]) for r in sample])
-    width = pivots.shape[1]
 
     def task(queries: np.ndarray):
         def work(batches: Iterator[pa.RecordBatch]) -> Best:
@@ -87,4 +94,4 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
 
         return work
 
-    return search(index.select("v", "ids"), asked_of(rows, every, id_col, vector_col, same, False, width), k, task, F.col("cost"))
+    return search(index.select("v", "ids"), asked_of(given, every, same, False), k, task, F.col("cost"))

@@ -9,6 +9,7 @@ row can be better than those found.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .vector_search import Best, asked_of, classes, expand, matrix, padded, search
+from .vector_search import Best, asked_of, classes, expand, matrix, padded, search, usable, widths
 
 #: Pivots (the different vectors of the smallest hashes), and rows of an annulus.
 PIVOTS, ANNULUS = 64, 256
@@ -29,11 +30,17 @@ def quantised(x: np.ndarray) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products as doubles, exact up to 2**53; beyond what doubles sum exactly, integers are summed."""
+    """Integer inner products, exactly; an error where one needs more than 64 bits."""
     most = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
     if a.shape[1] * most * most < 2**53:
-        return a @ b.T
-    return (a.astype(np.int64) @ b.astype(np.int64).T).astype(np.float64)
+        return (a @ b.T).astype(np.int64)
+    if a.shape[1] * most * most < 2**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+    exact = whole(a) @ whole(b).T
+    if any(abs(v) >= 2**63 - 1 for v in exact.ravel()):
+        raise OverflowError("an inner product needs more than 64 bits")
+    return exact.astype(np.int64)
 
 
 def _distances(inner: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
@@ -48,13 +55,19 @@ def largest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
     """(query_id, rank, vec_id, score): the k rows of the largest inner product of floor(256 x), exactly.
 
     Queries are the rows whose id is divisible by `every`, each against all rows but its own; equal scores go to
-    the smaller id. Null and non-finite vectors, those of an unusual length and rows without an id take no part;
-    zero vectors do. Rows with the same id count as one row's.
+    the smaller id. Null, empty and non-finite vectors and rows without an id take no part; zero vectors do. Vectors of
+    different lengths never meet. Rows with the same id and vector count once. A score of more than 64 bits is an error.
     """
-    found = cut(classes(rows, k + 1, id_col, vector_col, quantised, zero=True))
+    given = usable(rows, id_col, vector_col)
+    parts = [_largest(given.where(F.size("x") == n), k, every) for n in widths(given)]
+    return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _largest(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """largest() of vectors of one length."""
+    found = cut(classes(rows, k + 1, quantised, zero=True))
     sample = found.orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect()
     pivots = matrix([bytes(r["v"]) for r in sample])
-    width = pivots.shape[1]
     ship(rows.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +90,13 @@ def largest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
     index = cut(found.mapInArrow(keyed, "pivot int, far double, v binary, ids array<long>").repartitionByRange(parts, "pivot", "far").sortWithinPartitions("pivot", "far", "v"))
 
     def task(queries: np.ndarray):
+        known = products(queries, pivots)
+        # the pivots are rows too: nothing below the (k + 1)-th best of them is among a query's k + 1 best
+        first = -np.sort(-known, axis=1)[:, k] if known.shape[1] > k else np.full(len(queries), -np.inf)
+
         def work(batches: Iterator[pa.RecordBatch]) -> Best:
-            best, squares = Best(len(queries), k + 1), (queries**2).sum(axis=1)
-            to_pivots = _distances(products(queries, pivots), squares, (lifted**2).sum(axis=1))
+            best, squares = Best(len(queries), k + 1, np.int64), (queries**2).sum(axis=1)
+            to_pivots = _distances(known, squares, (lifted**2).sum(axis=1))
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -87,16 +104,15 @@ def largest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
                 x, ids = matrix([bytes(v) for v in batch.column("v").to_pylist()]), padded(batch.column("ids"), k + 1)
                 edges = np.flatnonzero(np.diff(pivot)) + 1
                 for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(pivot)]):
-                    _visit(best, queries, squares, longest, to_pivots[:, pivot[a]], far[a:b], x[a:b], ids[a:b])
+                    _visit(best, queries, squares, longest, to_pivots[:, pivot[a]], first, far[a:b], x[a:b], ids[a:b])
             return best
 
         return work
 
-    asked = asked_of(rows, every, id_col, vector_col, quantised, True, width)
-    return search(index, asked, k, task, (-F.col("cost")).cast("long"))
+    return search(index, asked_of(rows, every, quantised, True), k, task, -F.col("cost"), "long")
 
 
-def _visit(best: Best, queries: np.ndarray, squares: np.ndarray, longest: float, own: np.ndarray, far: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+def _visit(best: Best, queries: np.ndarray, squares: np.ndarray, longest: float, own: np.ndarray, first: np.ndarray, far: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
     """One pivot's rows, sorted by distance: by query the annuli in the order of their lower bounds."""
     starts = np.arange(0, len(far), ANNULUS)
     low, high = far[starts], far[np.minimum(starts + ANNULUS, len(far)) - 1]
@@ -106,7 +122,8 @@ def _visit(best: Best, queries: np.ndarray, squares: np.ndarray, longest: float,
     for step in range(len(starts)):
         annulus = order[active, step]
         # the worst score kept so far, as a distance: sqrt(|q|^2 + longest - 2 score)
-        reach = np.sqrt(np.maximum(squares[active] + longest + 2 * best.worst(active), 0))
+        worst = np.minimum(np.where(best.worst(active) == best.none, np.inf, best.worst(active).astype(float)), -first[active])
+        reach = np.sqrt(np.maximum(squares[active] + longest + 2 * worst, 0))
         near = bound[active, annulus] <= reach * (1 + SLACK) + SLACK * np.sqrt(squares[active] + longest)
         active, annulus = active[near], annulus[near]  # later annuli of the others are farther still
         if not len(active):

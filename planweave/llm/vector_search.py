@@ -19,16 +19,23 @@ from .common import cut, ship, vectors
 QUERIES_AT_ONCE = 2048
 
 
-def classes(rows: DataFrame, keep: int, id_col: str, vector_col: str, change: Callable[[np.ndarray], np.ndarray], zero: bool) -> DataFrame:
-    """(v binary, ids array<long>): the different vectors as doubles after `change`, with their `keep` smallest ids.
+def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, x) of the rows with an id and a vector that isn't empty."""
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x")).where("id is not null and size(x) > 0")
 
-    Vectors that are null, of another length than most are, or hold null or non-finite components take no part,
-    nor do rows without an id; zero vectors do if `zero`. Each batch sends at most `keep` ids of a vector, so a
-    vector shared by many rows stays small.
+
+def widths(given: DataFrame) -> list[int]:
+    """The lengths that occur. Vectors of different lengths have no distance: each length is searched apart."""
+    return [r["n"] for r in given.select(F.size("x").alias("n")).distinct().orderBy("n").collect()]
+
+
+def classes(given: DataFrame, keep: int, change: Callable[[np.ndarray], np.ndarray], zero: bool) -> DataFrame:
+    """(v binary, ids array<long>): the different vectors of usable() as doubles after `change`, with their `keep` smallest ids.
+
+    Vectors that hold null or non-finite components take no part; zero vectors do if `zero`. Each batch sends at most
+    `keep` ids of a vector and each task keeps the smallest of them before the exchange, so a vector shared by any number
+    of rows stays small.
     """
-    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x")).where("id is not null and size(x) > 0")
-    usual = given.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    given = given.where(F.size("x") == (usual["n"] if usual else 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,11 +51,12 @@ def classes(rows: DataFrame, keep: int, id_col: str, vector_col: str, change: Ca
                 if len(same) < keep and int(ids[k]) not in same:
                     same.append(int(ids[k]))
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.list_(pa.int64()))], ["v", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, same in own.items() for _ in same], pa.binary()), pa.array([i for same in own.values() for i in same], pa.int64())], ["v", "id"])
 
-    ship(rows.sparkSession)
-    found = given.mapInArrow(run, "v binary, ids array<long>").groupBy("v").agg(F.collect_list("ids").alias("all"))
-    return found.select("v", F.slice(F.array_sort(F.array_distinct(F.flatten("all"))), 1, keep).alias("ids"))
+    ship(given.sparkSession)
+    first = Window.partitionBy("v").orderBy("id")
+    found = given.mapInArrow(run, "v binary, id long").withColumn("k", F.dense_rank().over(first)).where(F.col("k") <= keep)
+    return found.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def matrix(values: list[bytes]) -> np.ndarray:
@@ -56,17 +64,17 @@ def matrix(values: list[bytes]) -> np.ndarray:
 
 
 class Best:
-    """The `keep` best rows of each query so far: smallest cost, then smallest id."""
+    """The `keep` best rows of each query so far: smallest cost, then smallest id. Costs of `kind` are below `none`."""
 
-    def __init__(self, queries: int, keep: int):
-        self.keep = keep
-        self.cost, self.id = np.full((queries, keep), np.inf), np.full((queries, keep), np.iinfo(np.int64).max)
+    def __init__(self, queries: int, keep: int, kind: type = np.float64):
+        self.keep, self.none = keep, np.inf if kind is np.float64 else np.iinfo(kind).max
+        self.cost, self.id = np.full((queries, keep), self.none, kind), np.full((queries, keep), np.iinfo(np.int64).max)
 
     def worst(self, q: np.ndarray) -> np.ndarray:
         return self.cost[q, -1]
 
     def add(self, q: np.ndarray, cost: np.ndarray, ids: np.ndarray) -> None:
-        """Further rows: cost and ids by query of q; missing ones have infinite costs."""
+        """Further rows: cost and ids by query of q; missing ones cost `none`."""
         cost, ids = np.concatenate([self.cost[q], cost], axis=1), np.concatenate([self.id[q], ids], axis=1)
         order = np.lexsort((ids, cost), axis=1)[:, : self.keep]
         self.cost[q], self.id[q] = np.take_along_axis(cost, order, 1), np.take_along_axis(ids, order, 1)
@@ -79,7 +87,7 @@ def nearest_classes(cost: np.ndarray, first: np.ndarray, keep: int) -> np.ndarra
         limit = np.partition(cost, keep - 1, axis=1)[:, keep - 1]
         width = int((cost <= limit[:, None]).sum(axis=1).max())
         if width > keep:
-            masked = np.where(cost <= limit[:, None], cost, np.inf)
+            masked = np.where(cost <= limit[:, None], cost, cost.max())  # none of these is among the first
             return np.lexsort((np.broadcast_to(first, cost.shape), masked), axis=1)[:, :keep]
         return np.argpartition(cost, keep - 1, axis=1)[:, :keep]
     return np.broadcast_to(np.arange(cost.shape[1]), cost.shape)
@@ -90,7 +98,7 @@ def expand(best: Best, q: np.ndarray, cost: np.ndarray, ids: np.ndarray) -> None
     near = nearest_classes(cost, ids[:, 0], best.keep)
     picked = ids[near]
     each = np.repeat(np.take_along_axis(cost, near, 1)[:, :, None], ids.shape[1], axis=2)
-    each = np.where(picked == np.iinfo(np.int64).max, np.inf, each)
+    each = np.where(picked == np.iinfo(np.int64).max, best.none, each)
     best.add(q, each.reshape(len(q), -1), picked.reshape(len(q), -1))
 
 
@@ -101,7 +109,7 @@ def padded(ids: pa.Array, keep: int) -> np.ndarray:
     return out
 
 
-def search(index: DataFrame, asked: DataFrame, k: int, task: Callable[[np.ndarray], Callable[[Iterator[pa.RecordBatch]], Best]], score: Column) -> DataFrame:
+def search(index: DataFrame, asked: DataFrame, k: int, task: Callable[[np.ndarray], Callable[[Iterator[pa.RecordBatch]], Best]], score: Column, cost: str = "double") -> DataFrame:
     """(query_id, rank, vec_id, score): task gets a block of query vectors and returns what a task does with its rows of the index.
 
     asked: (v, query_id). The queries go out in blocks of a bounded size; each task returns its best k + 1 rows
@@ -118,10 +126,10 @@ def search(index: DataFrame, asked: DataFrame, k: int, task: Callable[[np.ndarra
         def run(batches: Iterator[pa.RecordBatch], names=names, work=work) -> Iterator[pa.RecordBatch]:
             if len(names):
                 best = work(batches)
-                at, column = np.nonzero(np.isfinite(best.cost))
+                at, column = np.nonzero(best.cost < best.none)
                 yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(best.id[at, column]), pa.array(best.cost[at, column])], ["q", "vec_id", "cost"])
 
-        part = index.mapInArrow(run, "q long, vec_id long, cost double")
+        part = index.mapInArrow(run, f"q long, vec_id long, cost {cost}")
         order = Window.partitionBy("q").orderBy("cost", "vec_id")
         part = cut(part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1))
         found = part if found is None else found.union(part)
@@ -131,9 +139,8 @@ def search(index: DataFrame, asked: DataFrame, k: int, task: Callable[[np.ndarra
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
-def asked_of(rows: DataFrame, every: int, id_col: str, vector_col: str, change: Callable[[np.ndarray], np.ndarray], zero: bool, width: int) -> DataFrame:
-    """(v, query_id) of the usable rows whose id is divisible by `every`, each once."""
-    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x")).where((F.col("id") % every == 0) & (F.size("x") == width))
+def asked_of(given: DataFrame, every: int, change: Callable[[np.ndarray], np.ndarray], zero: bool) -> DataFrame:
+    """(v, query_id) of the rows of usable() whose id is divisible by `every`, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,5 +151,5 @@ def asked_of(rows: DataFrame, every: int, id_col: str, vector_col: str, change:
                     ids, x = ids[x.any(axis=1)], x[x.any(axis=1)]
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), pa.array(ids)], ["v", "query_id"])
 
-    ship(rows.sparkSession)
-    return given.mapInArrow(run, "v binary, query_id long").distinct()
+    ship(given.sparkSession)
+    return given.where(F.col("id") % every == 0).mapInArrow(run, "v binary, query_id long").distinct()

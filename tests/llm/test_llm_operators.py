@@ -278,6 +278,48 @@ def test_pivot_distance_is_exact(vectors):
     assert grouped(pivot_distance.largest(vectors).collect()) == want
 
 
+def test_products_are_exact_or_an_error():
+    assert pivot_distance.products(np.array([[94906267.0]]), np.array([[94906267.0]])).tolist() == [[94906267**2]]
+    wide, other = np.array([[2.0**40, 1.0, 3.0]]), np.array([[2.0**22, -1.0, 2.0], [0.0, 2.0**60, 1.0]])
+    assert pivot_distance.products(wide, other).tolist() == [[2**62 + 5, 2**60 + 3]]
+    with pytest.raises(OverflowError):
+        pivot_distance.products(np.array([[2.0**40]]), np.array([[2.0**40]]))
+
+
+def test_large_scores_and_lengths_apart(spark):
+    rows = [(50 * i, [float(2**22 + i), 1.0]) for i in range(8)] + [(1, [2.0**22, 0.5, 0.25]), (100_000, [1.0, 1.0, 1.0]), (100_050, [1.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = grouped(pivot_distance.largest(df).collect())
+    whole = {i: [int(256 * v) for v in x] for i, x in rows}
+    for q in got:
+        fine = [(-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i, x in rows if i != q and len(x) == len(whole[q])]
+        assert got[q] == [(n + 1, i, -c) for n, (c, i) in enumerate(sorted(fine)[:5])]
+    assert len(got) == 10 and len(grouped(permutation_index.nearest(df).collect())[100_000]) == 2
+
+
+def test_permutation_index_recalls_the_table(spark):
+    rows = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/embeddings.parquet")
+    got = grouped(queries.QUERIES["op1_permutation_index"](spark, DATA.replace("sf0.001", "sf0.01")).collect())
+    fine = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect() if r["embedding"] is not None}
+    ids = np.array(sorted(i for i, x in fine.items() if np.isfinite(x).all() and x.any()))
+    m, hits, total = np.array([fine[i] for i in ids]), 0, 0
+    for q in ids[ids % 100 == 0]:
+        far = np.sqrt(((m - fine[q]) ** 2).sum(axis=1))
+        want = {int(ids[j]) for j in np.lexsort((ids, far)) if ids[j] != q}
+        order = [int(ids[j]) for j in np.lexsort((ids, far)) if ids[j] != q][:10]
+        assert len(got[q]) == min(10, len(want))
+        hits, total = hits + len(set(order) & {v for _, v, _ in got[q]}), total + len(order)
+    assert hits >= 0.9 * total > 0
+
+
+def test_a_vector_shared_by_many_rows_keeps_few_ids(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5000, 0, -1)], "vec_id long, embedding array<double>").repartition(4)
+    from planweave.llm import vector_search
+
+    (row,) = vector_search.classes(vector_search.usable(df, "vec_id", "embedding"), 6, lambda x: x, True).collect()
+    assert row["ids"] == [1, 2, 3, 4, 5, 6]
+
+
 def test_searches_of_few_rows(spark, vectors):
     for search in (permutation_index.nearest, pivot_distance.largest):
         assert search(vectors.where("false")).count() == 0
