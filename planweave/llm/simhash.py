@@ -17,8 +17,10 @@ from .components import connected_components, label
 SEED = 42
 #: Reference fingerprints, to which every fingerprint's Hamming distance is tabulated.
 PIVOTS = 32
-#: Buckets of more fingerprints are dealt anew by finer keys.
-WIDE = 1024
+#: Buckets of more fingerprints are dealt anew by finer keys; keys of such buckets that are broadcast at most.
+WIDE, BROADCAST = 1024, 500_000
+#: Fingerprints from which on those that differ in few bits are looked up by what is near, in place of all pairs.
+MANY = 4096
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -91,6 +93,9 @@ def spanning(fp: np.ndarray, distance: int) -> np.ndarray:
     Pairs whose distances to some reference differ by more than `distance` are discarded (triangle
     inequality); the survivors' bits are compared.
     """
+    free = np.bitwise_or.reduce(fp ^ fp[0])
+    if len(fp) > MANY and int(free).bit_count() <= 16:
+        return _spanning_near(fp, distance, free)
     far = np.bitwise_count(fp[:, None] ^ _references()).astype(np.int8)
     root, n, step = np.arange(len(fp)), len(fp), max(1, 2**21 // len(fp))
     for k in range(0, n, step):
@@ -109,6 +114,19 @@ def spanning(fp: np.ndarray, distance: int) -> np.ndarray:
     return root
 
 
+def _spanning_near(fp: np.ndarray, distance: int, free: np.uint64) -> np.ndarray:
+    """spanning() of different fingerprints that differ in the free bits alone: each one's neighbours are looked up among all."""
+    order = np.argsort(fp)
+    ranked, root, bits = fp[order], np.arange(len(fp)), [np.uint64(1 << k) for k in range(64) if int(free) >> k & 1]
+    for n in range(1, distance + 1):
+        for some in combinations(bits, n):
+            other = fp ^ np.bitwise_or.reduce(some)
+            at = np.minimum(np.searchsorted(ranked, other), len(fp) - 1)
+            own = np.flatnonzero(ranked[at] == other)
+            root = label(len(fp), np.concatenate([own, np.arange(len(fp))]), np.concatenate([order[at[own]], root]))
+    return root
+
+
 def _links(buckets: DataFrame, distance: int) -> DataFrame:
     """(a, b) of each bucket, as stars; a bucket of any density gives fewer links than it has fingerprints."""
 
@@ -137,14 +155,23 @@ def _links(buckets: DataFrame, distance: int) -> DataFrame:
     return per_batch(buckets.groupBy("part", "key").agg(F.collect_list(F.struct("node", "fp")).alias("items")).select("items"), "a long, b long", make)
 
 
+def _several(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of buckets of 2 to WIDE nodes, rows of wider ones). Sizes are counted apart, so rows of a wide bucket never meet in one task."""
+    rows = cut(keyed)
+    sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n"))
+    wide = cut(sizes.where(F.col("n") > WIDE).select("part", "key"))
+    far = F.broadcast(wide) if wide.count() <= BROADCAST else wide
+    group = Window.partitionBy("part", "key")
+    narrow = rows.join(far, ["part", "key"], "left_anti").withColumn("n", F.count("*").over(group)).where("n > 1")
+    return narrow, rows.join(far, ["part", "key"], "left_semi")
+
+
 def links_within(nodes: DataFrame, distance: int) -> DataFrame:
     """(a, b): stars that connect the nodes (node, fp) exactly as links of at most `distance` bits do; fingerprints differ."""
-    group = Window.partitionBy("part", "key")
-    keyed = _keyed(nodes, 2 + distance, distance) if 64 % (2 + distance) == 0 else _keyed(nodes, 8, distance)
-    keyed = cut(keyed.withColumn("n", F.count("*").over(group)).where("n > 1"))
-    wide = keyed.where(F.col("n") > WIDE).select("node", "fp").distinct()
-    finer = _keyed(wide, 8, distance).withColumn("n", F.count("*").over(group)).where("n > 1")
-    return _links(keyed.where(F.col("n") <= WIDE), distance).union(_links(finer, distance))
+    blocks = 2 + distance if 64 % (2 + distance) == 0 else 8
+    narrow, wide = _several(_keyed(nodes, blocks, distance))
+    finer = _keyed(wide.select("node", "fp").distinct(), 8, distance).withColumn("n", F.count("*").over(Window.partitionBy("part", "key"))).where("n > 1")
+    return _links(narrow, distance).union(_links(finer, distance))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
@@ -155,7 +182,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     part in the linking and has a null component_id. An empty table gives an empty table.
 
     A bucket holds distinct fingerprints that agree on half of the bits' tables. Buckets of more than WIDE are
-    dealt anew by three quarters of the bits; there at most 2**16 different fingerprints can meet.
+    dealt anew by three quarters of the bits; there at most 2**16 different fingerprints can meet, which look their
+    neighbours up. A fingerprint that many rows share meets its component in an outer join, which splits such keys.
     """
     prints = cut(fingerprints(docs, id_col, text_col, words))
     nodes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))

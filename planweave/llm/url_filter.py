@@ -13,6 +13,8 @@ from .common import cut
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Order of events with equal keys. A byte that no UTF-8 text holds ends the interval of a prefix.
 _CLOSE, _OPEN, _POINT = 0, 1, 2
+#: Hosts with rules that are broadcast at most.
+BROADCAST = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -55,6 +57,7 @@ def sweep(points: DataFrame, intervals: DataFrame) -> DataFrame:
     begins = events.groupBy("part").agg(F.sum(change).alias("change"))
     begins = begins.select("part", F.coalesce(F.sum("change").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     deep = events.join(F.broadcast(begins), "part").withColumn("depth", F.col("before") + F.sum(change).over(Window.partitionBy("part").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    deep = cut(deep.drop("before"))
     opened = deep.where(F.col("kind") == _OPEN).select("part", "k", "kind", F.col("depth").alias("level"), "rule")
 
     # what each range takes over, by level
@@ -90,13 +93,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
 
     hosts = places.select("host").distinct().withColumn("key", reversed_host(F.col("host")))
     owners = sweep(hosts.select("key"), rules.select("host").distinct().select(reversed_host(F.col("host")).alias("prefix"), F.col("host").alias("rule")))
-    owners = hosts.join(owners, "key").select("host", F.col("rule").alias("rule_host"))
+    owners = cut(hosts.join(owners, "key").select("host", F.col("rule").alias("rule_host")))
+    few = owners.count() <= BROADCAST
 
     under = lambda host, path: F.concat(reversed_host(host), F.lit("\n"), path)  # noqa: E731  rules have no line end in a host
-    near = places.join(owners, "host").withColumn("key", under(F.col("rule_host"), F.col("path")))
+    # a host of many paths goes nowhere where its rules come to all tasks; else adaptive joins split it
+    near = places.join(F.broadcast(owners) if few else owners, "host").withColumn("key", under(F.col("rule_host"), F.col("path")))
     fits = sweep(near.select("key"), rules.select(under(F.col("host"), F.col("path")).alias("prefix"), F.struct("host", "path", "verdict").alias("rule")))
     longest = fits.groupBy("key").agg(F.max_by("rule", "level").alias("rule"))
     best = near.join(longest, "key").groupBy("host", "path").agg(F.max_by("rule", F.struct(F.length("rule_host"), F.col("rule_host"))).alias("best"))
 
-    out = given.join(best, ["host", "path"], "left")
+    # rows without a host fit no rule and stay out of the join
+    bare = given.where("host = ''").withColumn("best", F.lit(None).cast(dict(best.dtypes)["best"]))
+    out = given.where("host <> ''").join(best, ["host", "path"], "left").unionByName(bare)
     return out.select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
