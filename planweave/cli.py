@@ -1,7 +1,8 @@
 """Command line: planweave MODULE:PIPELINE validate | manifest [--out PATH] | run [--dry] | watch | import-schemas [--out PATH] | seed FILE.
 
 MODULE:PIPELINE names a Pipeline, or a function that returns one. Settings come from the environment, where empty means
-unset: PLANWEAVE_STORAGE (file:///tmp/planweave/<name>), PLANWEAVE_NAME (the module's), PLANWEAVE_DATABASE.
+unset: PLANWEAVE_STORAGE (on one machine file:///tmp/planweave/<name>), PLANWEAVE_NAME (the module's), PLANWEAVE_CATALOG
+and PLANWEAVE_DATABASE (the session's).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import sys
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .plans import InvalidPipeline, Pipeline, Runner, RunFailed, schemas, seed, watch
@@ -57,15 +59,20 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
         parser.print_help()
         return 0
     spark = spark or SparkSession.builder.appName("planweave").getOrCreate()
-    if database := setting("DATABASE", ""):
-        spark.catalog.setCurrentDatabase(database)
     try:
+        if catalog := setting("CATALOG", ""):
+            spark.catalog.setCurrentCatalog(catalog)
+        if database := setting("DATABASE", ""):
+            spark.catalog.setCurrentDatabase(database)
         if given.command == "seed":
             text = Path(given.file).read_text()
             print(f"{seed(spark, [s for s in text.split(';') if s.strip()])} statements")
             return 0
         name = setting("NAME", given.pipeline.partition(":")[0])
-        runner = Runner(spark, load(given.pipeline), setting("STORAGE", f"file:///tmp/planweave/{name}"), print, getattr(given, "timeout", 600))
+        storage = setting("STORAGE", f"file:///tmp/planweave/{name}" if spark.sparkContext.master.startswith("local") else "")
+        if not storage:
+            raise RuntimeError("PLANWEAVE_STORAGE must name a folder that all executors share")
+        runner = Runner(spark, load(given.pipeline), storage, print, getattr(given, "timeout", 600))
         if given.command == "validate":
             print(f"valid: {len(runner.validate().order)} datasets")
         elif given.command in ("manifest", "import-schemas"):
@@ -82,7 +89,7 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
             runner.dry_run()
         else:
             runner.run(given.only, given.full_refresh)
-    except (InvalidPipeline, RunFailed, RuntimeError) as e:
+    except (InvalidPipeline, RunFailed, RuntimeError, PySparkException) as e:
         print(e, file=sys.stderr)
         return 1
     return 0

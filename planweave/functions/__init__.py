@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 #: Operators by name; Spark's function registry does not resolve all of them.
 OPERATORS = {
@@ -44,11 +46,11 @@ def fn(name: str, *args: Any, distinct: bool = False) -> Column:
 
 
 def call_distinct(name: str, *columns: Column) -> Column:
-    """An aggregate over the different values of one column: they are collected as a set first, so keep groups small."""
-    per_set = {"collect_list": lambda s: s, "avg": lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(s), F.lit(0)), "min": F.array_min, "max": F.array_max}
-    if name not in per_set or len(columns) != 1:
-        raise ValueError(f"no distinct form of {name}")
-    return per_set[name](F.collect_set(columns[0]))
+    """An aggregate over the different values of its columns, as DISTINCT in SQL: planned as partial aggregates."""
+    jvm = SparkContext._active_spark_context._jvm  # type: ignore[union-attr]
+    nodes = jvm.PythonUtils.toSeq([c._jc.node() for c in columns])
+    origin = jvm.org.apache.spark.sql.catalyst.trees.CurrentOrigin.get()
+    return ClassicColumn(jvm.org.apache.spark.sql.Column(jvm.org.apache.spark.sql.internal.UnresolvedFunction(name, nodes, True, False, False, origin)))
 
 
 #: The named library, as it is called here; everything else goes through fn().

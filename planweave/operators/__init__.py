@@ -14,13 +14,19 @@ from .asof import as_of_join
 __all__ = ["approx_quantile", "as_of_join", "corr", "cov", "dedup", "html_string", "lateral_join", "observe", "sample_by", "set_op", "show_string", "tail", "to_schema"]
 
 
+#: Rows that tail without an order brings to the driver at most.
+TAIL = 100_000
+
+
 def tail(df: DataFrame, n: int, order: Sequence[tuple[str, str] | str] = ()) -> DataFrame:
     """The last n rows as a relation.
 
     With an order (names, or pairs of a name and asc or desc) it is a top-k in reverse, which stays on the
-    executors. Without one it is what df.tail(n) collects: n rows through the driver.
+    executors. Without one it is what df.tail(n) collects: n rows through the driver, TAIL at most.
     """
     if not order:
+        if n > TAIL:
+            raise ValueError(f"the last {n} rows without an order go through the driver, which takes {TAIL}; name an order")
         return df.sparkSession.createDataFrame(df.tail(n), df.schema)
     keys = [(k, "asc") if isinstance(k, str) else k for k in order]
     forth = [F.col(k).desc_nulls_last() if d == "desc" else F.col(k).asc_nulls_first() for k, d in keys]
@@ -43,10 +49,16 @@ def dedup(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropDuplicates(list(columns)) if columns else df.distinct()
 
 
-def approx_quantile(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], error: float = 0.0) -> DataFrame:
-    """One row with the column approx_quantile: for each column the quantiles asked for."""
-    found = df.approxQuantile(list(columns), list(probabilities), error)
-    return df.sparkSession.createDataFrame([(found,)], "approx_quantile array<array<double>>")
+def approx_quantile(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], error: float = 1e-4) -> DataFrame:
+    """One row with the column approx_quantile: for each column the quantiles asked for.
+
+    A partial aggregate whose state grows with 1 / error, not with the rows. A rank is wrong by error * rows at most; nulls
+    are left out, a column without values gives null.
+    """
+    if not 0 < error < 1:
+        raise ValueError(f"error {error} is not between 0 and 1")
+    found = [F.percentile_approx(F.col(c).cast("double"), list(probabilities), int(round(1 / error))) for c in columns]
+    return df.agg(F.array(*found).alias("approx_quantile"))
 
 
 def cov(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -19,9 +19,11 @@ def as_of_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, b
     right row forward (backward) or the next one back (forward); nearest takes the closer, a tie goes backward.
     Of right rows with equal times the one that is largest by all its columns counts, so results are
     deterministic. Null times and null keys never match; left rows without a match stay with nulls (how="left")
-    or go (how="inner"). tolerance is the largest distance, in units of the time, or seconds for timestamps.
-    Right columns whose names the left side has get the suffix; the keys are not repeated. Without `by`, rows are
-    dealt to ranges of time and each range takes over the last row before it, so no task gets all rows.
+    or go (how="inner"). tolerance is the largest distance, in units of the time, seconds for timestamps, days for
+    dates. Right columns whose names the left side has get the suffix; the keys are not repeated. Rows are dealt to
+    ranges of keys and time, and a range takes over the last row before it of the key that it begins with, so no task
+    gets all rows, nor all of one key. Timestamps without a zone are compared as they are written, whatever the
+    session's zone.
     """
     if direction not in DIRECTIONS or how not in ("left", "inner"):
         raise ValueError(f"direction {direction!r}, how {how!r}")
@@ -36,10 +38,9 @@ def as_of_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, b
     both = l.unionByName(r, allowMissingColumns=True)
     keys = [f"k{i}" for i in range(len(by))]
     looks = {"backward": ("backward",), "forward": ("forward",), "nearest": DIRECTIONS[:2]}[direction]
-    if keys:
-        both = both.withColumns({look: _seen(look, allow_exact, keys) for look in looks})
-    else:
-        both = _ranged(both, looks, allow_exact)
+    both = _ranged(both, looks, allow_exact, keys)
+    if tolerance is not None and dict(left.dtypes)[left_on].startswith("timestamp"):
+        tolerance = round(tolerance * 1_000_000)
     out = both.where("is_left")
     for look in looks:
         found = F.col(look)
@@ -61,13 +62,16 @@ def as_of_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, b
 
 
 def _number(df: DataFrame, c: str) -> Column:
+    """Times as numbers: microseconds, without a zone those of the time as it is written; days; anything else as it is."""
     kind = dict(df.dtypes)[c]
     if kind == "timestamp_ntz":
-        return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+        time = F.col(c)
+        seconds = (F.unix_date(time.cast("date")) * 24 + F.hour(time)) * 3600 + F.minute(time) * 60
+        return seconds.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
     if kind == "timestamp":
-        return F.unix_micros(c) / 1e6
+        return F.unix_micros(c)
     if kind == "date":
-        return F.unix_date(c).cast("double")
+        return F.unix_date(c)
     return F.col(c)
 
 
@@ -84,16 +88,23 @@ def _seen(look: str, allow_exact: bool, keys: Sequence[str]) -> Column:
     return F.last("r", ignorenulls=True).over(w)
 
 
-def _ranged(both: DataFrame, looks: Sequence[str], allow_exact: bool) -> DataFrame:
+def _ranged(both: DataFrame, looks: Sequence[str], allow_exact: bool, keys: Sequence[str]) -> DataFrame:
     parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = cut(both.repartitionByRange(parts, "t").withColumn("part", F.spark_partition_id()))
+    both = cut(both.repartitionByRange(parts, *keys, "t").withColumn("part", F.spark_partition_id()))
+    held = both
+    if keys:
+        # ranges are sorted: only the key that a range begins with can have rows in one before it
+        first = both.groupBy("part").agg(F.min(F.struct(*keys)).alias("k")).select("k.*").distinct()  # one row a range at most
+        held = both.join(F.broadcast(first), list(keys))
+    own = ["part", *keys]
+    spans = held.select(own).distinct()  # about two rows a range at most
     for look in looks:
-        pick = F.max("r") if look == "backward" else F.min_by("r", F.struct(F.col("r")["t"], F.lit(0)))
-        ends = both.groupBy("part").agg(pick.alias("end"))  # one row a range
+        rights = held.where("not is_left")
         if look == "forward":
-            first = both.where("not is_left").groupBy("part").agg(F.min("t").alias("t"))
-            ends = both.where("not is_left").join(F.broadcast(first), ["part", "t"]).groupBy("part").agg(F.max("r").alias("end")).join(both.select("part").distinct(), "part", "right")
-        order = Window.orderBy(F.col("part").asc() if look == "backward" else F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        taken = ends.select("part", F.last("end", ignorenulls=True).over(order).alias("taken"))
-        both = both.join(F.broadcast(taken), "part").withColumn(look, F.coalesce(_seen(look, allow_exact, ["part"]), "taken")).drop("taken")
+            nearest = rights.groupBy(own).agg(F.min("t").alias("t"))
+            rights = rights.join(F.broadcast(nearest), [*own, "t"])
+        ends = rights.groupBy(own).agg(F.max("r").alias("end"))
+        order = Window.partitionBy(*keys).orderBy(F.col("part").asc() if look == "backward" else F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        taken = spans.join(ends, own, "left").select(*own, F.last("end", ignorenulls=True).over(order).alias("taken"))
+        both = both.join(F.broadcast(taken), own, "left").withColumn(look, F.coalesce(_seen(look, allow_exact, own), "taken")).drop("taken")
     return both

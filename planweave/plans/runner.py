@@ -48,7 +48,7 @@ class Runner:
 
     def dry_run(self) -> Plan:
         """Validation, and whether every stream could be started in append mode. No job runs."""
-        plan = self.validate()
+        plan = analyse(self.spark, self.pipeline, streams=True)
         self._plan = plan
         for name in plan.order:
             for f in plan.flows_of(name):
@@ -174,29 +174,42 @@ class Runner:
         source = self.resolve(f.source, True)
         marks = storage.at("state", f.name, "truncate")
 
+        changed = False
+
         def apply(batch: DataFrame, number: int) -> None:
-            storage.restore(path)
+            nonlocal changed
             if int(storage.read_text(seen) or -1) >= number:
                 return  # replayed
+            changed = True
             batch = batch.persist()
             rows, truncates = cdc.changes(batch, f)
-            new = cdc.reduce(rows, f, columns)
-            if storage.exists(path):
-                new = cdc.merged(self.spark.read.parquet(path), new, f, columns)
+            new = cdc.reduce(rows, f, columns).withColumn(cdc.BUCKET, cdc.bucket(f)).persist()
+            touched = [r[0] for r in new.select(cdc.BUCKET).distinct().collect()]  # cdc.BUCKETS numbers at most
+            if touched:
+                if storage.exists(path):
+                    state = self.spark.read.schema(new.schema).parquet(path).where(F.col(cdc.BUCKET).isin(touched))
+                    merged = cdc.merged(state, new, f, columns).withColumn(cdc.BUCKET, cdc.bucket(f))
+                else:
+                    merged = new
+                # only the buckets that the batch touches; a batch that is repeated gives the same rows again
+                merged.repartition(cdc.BUCKET).write.partitionBy(cdc.BUCKET).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+                self.spark.catalog.refreshByPath(path)
             if f.apply_as_truncates:
                 if storage.exists(marks):
                     truncates = truncates.unionByName(self.spark.read.parquet(marks))
-                last = truncates.agg(F.max("__seq").alias("__last"))  # one row, kept so that it also reaches later, older changes
-                storage.swap(last.select(F.col("__last").alias("__seq")), marks)
-                new = cdc.truncated(new.crossJoin(F.broadcast(self.spark.read.parquet(marks).withColumnRenamed("__seq", "__last"))), F.col("__last")).drop("__last")
-            storage.swap(new, path)
+                # one row: the last truncate, which also reaches later, older changes
+                storage.swap(truncates.agg(F.max("__seq").alias("__seq")), marks)
             storage.write_text(seen, str(number))
+            new.unpersist()
             batch.unpersist()
 
         writer = source.writeStream.foreachBatch(apply).option("checkpointLocation", storage.at("checkpoints", f.name)).trigger(availableNow=True)
         self._wait(writer.start())
-        if storage.exists(path):
-            storage.swap(cdc.current(self.spark.read.parquet(path), f, columns), self._folder(f))
+        if storage.exists(path) and (changed or not storage.exists(self._folder(f))):
+            state = self.spark.read.parquet(path).drop(cdc.BUCKET)
+            if storage.exists(marks):
+                state = cdc.truncated(state.crossJoin(F.broadcast(self.spark.read.parquet(marks).withColumnRenamed("__seq", "__last"))), F.col("__last")).drop("__last")
+            storage.swap(cdc.current(state, f, columns), self._folder(f))
         if f.once:
             storage.write_text(storage.at("once", f.name), "done")
         return ""

@@ -108,7 +108,7 @@ class Storage:
         if len(folders) > 1:
             self.read(d, flows, schema, False).createOrReplaceTempView(d.name)
             return
-        self.spark.sql(f"DROP TABLE IF EXISTS `{d.name}`")
+        self.spark.sql("DROP TABLE IF EXISTS " + ".".join(f"`{part}`" for part in d.name.split(".")))
         self.spark.catalog.createTable(d.name, path=folders[0], source=d.format, schema=schema)
 
     def forget(self, name: str, flows: list[str]) -> None:

@@ -252,7 +252,7 @@ def _(t: Tables):
 
 @query("approx_quantile", "R30", "SELECT [[quantile_disc(value, 0.25), quantile_disc(value, 0.5), quantile_disc(value, 0.9)]] AS approx_quantile FROM events")
 def _(t: Tables):
-    return ops.approx_quantile(t.events, ["value"], [0.25, 0.5, 0.9])
+    return ops.approx_quantile(t.events, ["value"], [0.25, 0.5, 0.9], 1e-6)
 
 
 @query("observe", "R31", "SELECT event_id, value FROM events WHERE value > 10")

@@ -112,6 +112,49 @@ def sample(spark, path):
     return p
 
 
+def test_sql_reads_dotted_names(spark, tmp_path, root):
+    p = Pipeline()
+    p.external("bronze.e", numbers(spark, tmp_path))
+    p.external("silver.e", numbers(spark, tmp_path, 5, "others"))
+    p.external("e", numbers(spark, tmp_path, 3, "plain"))
+    p.external("gold.Kinds", numbers(spark, tmp_path, 4, "kinds"))
+    p.materialized_view_sql("a", "SELECT bronze.e.id, x.id AS other, 'bronze.e' AS name FROM bronze.e JOIN `silver` . `e` AS x ON bronze.e.id = x.id -- bronze.e")
+    p.materialized_view_sql("b", "WITH kinds AS (SELECT id FROM gold.kinds) SELECT k.id FROM kinds k WHERE EXISTS (SELECT 1 FROM bronze.e y WHERE y.id = k.id) AND id IN (SELECT id FROM e)")
+    p.materialized_view_sql("c", "SELECT Kinds.id, gold.Kinds.id + 1 AS next FROM gold.Kinds")
+    p.streaming_table_sql("d", "SELECT q.id FROM STREAM(bronze.e) AS q WHERE q.id > 7")
+    with pytest.raises(InvalidPipeline) as wrong:
+        analyse(spark, p)  # names are as written
+    assert [x.kind for x in wrong.value.problems] == ["DanglingEdges"]
+    p.flows[1] = type(p.flows[1])("b", "b", sql=p.flows[1].sql.replace("gold.kinds", "gold.Kinds"))
+    runner = Runner(spark, p, root)
+    runner.run()
+    rows = lambda n: sorted(tuple(r) for r in runner.resolve(n, False).collect())
+    assert rows("a") == [(k, k, "bronze.e") for k in range(5)] and rows("b") == [(k,) for k in range(3)]
+    assert rows("c") == [(k, k + 1) for k in range(4)] and rows("d") == [(8,), (9,)]
+    p.materialized_view_sql("broken", "SELECT nothing FROM silver.e")
+    assert kinds(spark, p) == ["UnknownColumn"]
+
+
+def test_a_dry_run_finds_streams_that_can_not_append(spark, tmp_path, root):
+    p = Pipeline()
+    p.external("numbers", numbers(spark, tmp_path))
+
+    @p.streaming_table()
+    def counted(spark):
+        return spark.readStream.table("numbers").groupBy("id").count()
+
+    p.streaming_table_sql("ordered", "SELECT id FROM STREAM(numbers) ORDER BY id")
+    view(p, "fine", "numbers", stream=True)
+    runner = Runner(spark, p, root)
+    assert len(runner.validate().order) == 4  # the graph is valid
+    with pytest.raises(InvalidPipeline) as e:
+        runner.dry_run()
+    assert [(x.kind, x.about) for x in e.value.problems] == [("UnsupportedStream", "counted"), ("UnsupportedStream", "ordered")]
+    assert all("append" in x.message or "Sorting" in x.message for x in e.value.problems)
+    with pytest.raises(RunFailed):
+        runner.run()
+
+
 def test_manifest_is_stable_and_round_trips(spark, tmp_path):
     p = sample(spark, numbers(spark, tmp_path))
     text = manifest(analyse(spark, p))
@@ -244,6 +287,30 @@ def test_a_once_cdc_flow_runs_until_a_full_refresh_only(spark, tmp_path, root):
     assert keys == [[1], [1], [1, 2, 3]]
 
 
+def test_cdc_rewrites_only_the_buckets_that_a_batch_touches(spark, tmp_path, root):
+    path = f"{tmp_path}/log"
+    log = lambda rows: spark.createDataFrame(rows, "k long, seq long, v string").coalesce(1).write.mode("append").parquet(path)
+    log([(k, 1, f"v{k}") for k in range(400)])
+    p = Pipeline()
+    p.external("log", path)
+    p.create_streaming_table("now")
+    p.create_auto_cdc_flow("now", "log", ["k"], "seq")
+    runner = Runner(spark, p, root)
+    runner.run()
+    flow = next(f.name for f in p.flows)
+    state = tmp_path / "store" / "state" / flow / "rows"
+    before = {f: f.stat().st_mtime_ns for f in state.rglob("*.parquet")}
+    log([(7, 2, "new")])
+    runner.run()
+    after = {f: f.stat().st_mtime_ns for f in state.rglob("*.parquet")}
+    assert len(before) > 100 and len(before.keys() & after.keys()) == len(before) - 1 == len(after) - 1
+    rows = {r["k"]: r["v"] for r in runner.resolve("now", False).collect()}
+    assert rows == {k: f"v{k}" for k in range(400)} | {7: "new"}
+    data = {f for f in (tmp_path / "store" / "data").rglob("*.parquet")}
+    runner.run()  # nothing new: the target stays as it is
+    assert data == {f for f in (tmp_path / "store" / "data").rglob("*.parquet")}
+
+
 def test_cdc_columns():
     flow = cdc_flow()
     assert cdc.payload(["k", "a", "b", "op"], flow) == COLUMNS

@@ -120,3 +120,46 @@ def test_as_of_join(spark, keyed, direction, exact, tolerance):
     assert sorted(((x["id"], x["rid"]) for x in got.collect()), key=repr) == brute(left, right, direction, exact, tolerance)
     inner = ops.as_of_join(l, r, "t", "t", by=["k"] if keyed else [], direction=direction, allow_exact=exact, tolerance=tolerance, how="inner")
     assert inner.count() == sum(x["rid"] is not None for x in got.collect())
+
+
+def test_as_of_join_in_a_zone_with_summer_time(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        times = ["2024-03-10 01:59:59.5", "2024-03-10 02:30:00", "2024-03-10 03:05:00", "2024-11-03 01:10:00", "2024-11-03 01:50:00.000001", "1960-01-01 00:00:00.25"]
+        left = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, TIMESTAMP_NTZ'{t}')" for k, t in enumerate(times)) + " v(id, t)")
+        right = left.select((F.col("id") + 100).alias("rid"), F.col("t").alias("seen"))
+        back = {r["id"]: r["rid"] for r in ops.as_of_join(left, right, "t", "seen", allow_exact=False).collect()}
+        assert back == {0: 105, 1: 100, 2: 101, 3: 102, 4: 103, 5: None}
+        near = {r["id"]: r["rid"] for r in ops.as_of_join(left, right, "t", "seen", allow_exact=False, tolerance=2400.000001).collect()}
+        assert near == {0: None, 1: 100, 2: 101, 3: None, 4: 103, 5: None}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_as_of_join_deals_one_key_to_several_tasks(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 3900, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"), F.col("id").alias("n")).repartition(3)
+    left, right = rows.where("n % 2 = 0"), rows.where("n % 7 = 0").withColumnRenamed("n", "m")
+    for direction, want in (("backward", lambda n: n - n % 7), ("forward", lambda n: n + -n % 7)):
+        out = ops.as_of_join(left, right, "t", "t", by=["k"], direction=direction)
+        assert out.where("k = 1").select(F.spark_partition_id()).distinct().count() > 1
+        got = {r["n"]: r["m"] for r in out.where("k = 1").collect()}
+        assert got == {n: want(n) if want(n) < 3900 else None for n in range(0, 3900, 2)}
+
+
+def test_quantiles_are_lazy_and_bounded(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit(None).cast("double").alias("none"))
+    assert ops.approx_quantile(df, ["x", "none"], [0.1, 0.5], 1e-6).first()[0] == [[99.0, 499.0], None]
+    with pytest.raises(ValueError):
+        ops.approx_quantile(df, ["x"], [0.5], 0.0)
+
+
+def test_tail_without_an_order_is_bounded(spark):
+    with pytest.raises(ValueError):
+        ops.tail(spark.range(3), ops.TAIL + 1)
+
+
+def test_any_distinct_aggregate(spark):
+    df = spark.createDataFrame([(1,), (1,), (4,), (None,)], "x int")
+    row = df.agg(fn("avg", F.col("x"), distinct=True).alias("a"), F.sort_array(fn("collect_list", F.col("x"), distinct=True)).alias("l"), fn("count", F.col("x"), F.lit(1), distinct=True).alias("c"), fn("stddev", F.col("x"), distinct=True).alias("s")).first()
+    assert (row["a"], row["l"], row["c"]) == (2.5, [1, 4], 2) and abs(row["s"] - 4.5**0.5) < 1e-12
