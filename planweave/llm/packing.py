@@ -20,7 +20,7 @@ END = 1
 #: Pieces packed together by one task, and shards whose open sequences are packed again together.
 SHARD, SHARDS = 16_384, 64
 #: Words of a generation that a worker remembers, and bytes of text that it takes at once (or one longer text).
-REMEMBERED, SLICE = 400_000, 2**22
+REMEMBERED, SLICE = 600_000, 2**24
 #: Bytes of the longest word merged here; the rank of a pair that does not merge.
 WIDTH, _NONE = 64, np.iinfo(np.int32).max
 
@@ -30,6 +30,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words of these characters alone are the same in any Unicode version of the normaliser and the word pattern.
 _PLAIN = re.compile("[\0-\u012f\u0131-\u024f]*")
 _END, _STOPS = "</w>", {".", ","}
+#: Letters in any Unicode version whose lower case is letters alone, as a class.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 
 
 class WordIds:
@@ -125,6 +127,9 @@ class WordIds:
 
     def encode(self, given: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with END after it, and where each text ends, from 0 on)."""
+        if self.merged_here:
+            # white space only parts words, so more of it changes nothing: a stop after letters is a word of its own
+            given = pc.replace_substring_regex(pc.replace_substring(given, "\n", " "), f"([{_LETTER}])([.,]) ", "\\1 \\2 ")
         words = pc.split_pattern(given, " ")
         coded, ends = words.flatten().dictionary_encode(), words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         number = self.words.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]

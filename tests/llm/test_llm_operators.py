@@ -140,6 +140,16 @@ def test_second_pass_joins_shards(spark, monkeypatch):
     assert len(rows) == 400 and len({r["sequence_id"] for r in rows}) <= -(-total // 64) + 2
 
 
+def test_packing_encodes_as_the_library():
+    tokenizer, words, rng = pytest.importorskip("tokenizers").Tokenizer.from_file(WORDS), packing.WordIds(WORDS), random.Random(3)
+    letters = [chr(k) for k in range(0xC0, 0x250) if chr(k).isalpha()]
+    pieces = [*"abZ.,'! \n\t<>0İ", "\u0301", "\u0307", "'s", "...", " . ", "\u3000", ". ", ", "]
+    texts = ["".join(rng.choice([*pieces, rng.choice(letters)]) for _ in range(rng.randint(0, 60))) for _ in range(5000)]
+    ids, ends = words.encode(pa.array(texts, pa.large_string()))
+    for k, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[ends[k] : ends[k + 1]].tolist() == [*e.ids, 1], texts[k]
+
+
 def test_packing_forgets_and_learns_again():
     words = packing.WordIds(WORDS, remembered=4)
     given = ["one two three", "four five six seven", "", "one two three eight"]
