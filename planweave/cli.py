@@ -14,11 +14,12 @@ import sys
 from collections.abc import Sequence
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .plans import InvalidPipeline, Pipeline, Runner, RunFailed, schemas, seed, watch
-from .plans.coverage import report
+from .plans.coverage import drift, report
 
 
 def load(name: str) -> Pipeline:
@@ -54,14 +55,17 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return 1 if e.code else 0
     if given.command == "coverage":
         print(report())
-        return 0
+        return 1 if drift() else 0
     if not given.pipeline or not given.command:
         parser.print_help()
         return 0
     spark = spark or SparkSession.builder.appName("planweave").getOrCreate()
     try:
         if catalog := setting("CATALOG", ""):
-            spark.catalog.setCurrentCatalog(catalog)
+            try:
+                spark.catalog.setCurrentCatalog(catalog)
+            except Py4JJavaError as e:
+                raise RuntimeError(f"catalog {catalog}: {e.java_exception.getMessage()}") from e
         if database := setting("DATABASE", ""):
             spark.catalog.setCurrentDatabase(database)
         if given.command == "seed":

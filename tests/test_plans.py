@@ -311,6 +311,44 @@ def test_cdc_rewrites_only_the_buckets_that_a_batch_touches(spark, tmp_path, roo
     assert data == {f for f in (tmp_path / "store" / "data").rglob("*.parquet")}
 
 
+def test_a_stream_that_takes_longer_is_left_running(spark, tmp_path, root):
+    def slowly(batches):
+        import time
+
+        for b in batches:
+            time.sleep(4)
+            yield b
+
+    p = Pipeline()
+    p.external("numbers", numbers(spark, tmp_path))
+
+    @p.streaming_table()
+    def slow(spark):
+        return spark.readStream.table("numbers").mapInArrow(slowly, "id long")
+
+    events = Runner(spark, p, root, timeout=0).run()
+    try:
+        assert (events[-1].flow, events[-1].state) == ("slow", State.RUNNING)
+    finally:
+        for q in spark.streams.active:
+            q.processAllAvailable()
+            q.stop()
+
+
+def test_watch_runs_until_it_is_told_or_fails(spark, tmp_path, root):
+    p, waits = Pipeline(), []
+    p.external("numbers", numbers(spark, tmp_path))
+    view(p, "copied", "numbers", stream=True)
+    runner = Runner(spark, p, root)
+
+    def wait(seconds):
+        waits.append(seconds)
+        numbers(spark, tmp_path)  # ten more rows before each further run
+
+    assert watch(runner, every=5, times=3, sleep=wait) == 3 and waits == [5, 5]
+    assert runner.resolve("copied", False).count() == 30
+
+
 def test_cdc_columns():
     flow = cdc_flow()
     assert cdc.payload(["k", "a", "b", "op"], flow) == COLUMNS
@@ -345,6 +383,12 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert go("run", "--dry") == 0 and go("run") == 0 and "n: completed" in capsys.readouterr().out
     assert go("import-schemas") == 0 and "class Even" in capsys.readouterr().out
     assert cli.main([], spark) == 0 and cli.main(["x", "nonsense"], spark) == 1
+    assert cli.main(["x", "coverage"], spark) == 0 and "drift" not in capsys.readouterr().out
+    monkeypatch.setenv("PLANWEAVE_CATALOG", "no_such_catalog")
+    assert go("validate") == 1 and "no_such_catalog" in capsys.readouterr().err
+    monkeypatch.setenv("PLANWEAVE_CATALOG", "spark_catalog")
+    monkeypatch.setenv("PLANWEAVE_DATABASE", "default")
+    assert go("validate") == 0
     monkeypatch.setattr(module, "made", Pipeline, raising=False)
     p = Pipeline()
     p.materialized_view("a")(lambda s: s.table("b"))

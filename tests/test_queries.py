@@ -28,6 +28,17 @@ def test_every_row_of_the_inventory_has_a_query():
     assert report().endswith(f"{len(covered())} of {len(covered())} rows")
 
 
+def test_nothing_has_drifted(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from planweave.plans import coverage
+
+    assert coverage.drift(spark) == []
+    monkeypatch.setattr(DataFrame, "pivotAll", lambda self: self, raising=False)
+    monkeypatch.setitem(coverage.CLAIMS, "R10", "limit limitBy")
+    assert coverage.drift() == ["DataFrame.pivotAll is no row's", "DataFrame.limitBy of R10 is gone"]
+
+
 def test_entry_is_complete(spark):
     import __spark_entry__ as entry
 
