@@ -56,8 +56,11 @@ def test_block_distances_never_exceed_the_true_one():
     for n in (1, 20, 5000, 60_000):
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**64, n // 10, dtype=np.uint64)]))
-        x, y = (np.frombuffer(near_copies.blocks(v), np.uint8).astype(int) for v in (a, b))
-        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+        x, y, z = (near_copies.blocks(v) for v in (a, b, b[: len(b) // 9]))
+        assert near_copies._apart(x, y) <= len(np.setxor1d(a, b)) and near_copies._apart(x, z) <= len(np.setxor1d(a, b[: len(b) // 9]))
+        assert n < 20 or near_copies._apart(x, y) > 0.4 * len(np.setxor1d(a, b))
+        other = near_copies.blocks(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)))
+        assert n < 20 or near_copies._far(near_copies._apart(x, other), len(a), len(a))  # sets that share nothing are discarded, whatever their size
 
 
 def test_one_row_of_each_group_whatever_its_ids(spark):
