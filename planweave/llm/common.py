@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Folders of the tables that cut() wrote, by the application that wrote them.
+#: Folders that operators wrote, by application.
 _written: dict[str, list[str]] = {}
 
 
@@ -46,13 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df once to the shared folder. drop() deletes what is no longer needed, clean() the rest."""
     shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
-    app = df.sparkSession.sparkContext.applicationId
-    if app not in _written:
-        atexit.register(_clean_at_exit, df.sparkSession)
-    _written.setdefault(app, []).append(_folder_of(out))
+    until_exit(df.sparkSession, _folder_of(out))
     return out
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """The path goes when the driver ends, or by clean()."""
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        atexit.register(_clean_at_exit, spark)
+    _written.setdefault(app, []).append(path)
+
+
 def _clean_at_exit(spark: SparkSession) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         clean(spark)
