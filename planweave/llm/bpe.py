@@ -260,8 +260,7 @@ def _each(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
         merger = held(__name__, (path, pattern), lambda: Merger(path, pattern))  # loading the vocabulary takes a second
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            given = batch.column("text").cast(pa.large_string()).fill_null("")
-            parts = [rows(merger, part) for _, part in slices(given, SLICE)]
+            parts = [rows(merger, part) for _, part in slices(batch.column("text"), SLICE)]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.concat_arrays(x) for x in zip(*parts))], names)
 
         return step

@@ -212,11 +212,11 @@ class Remembered:
 
 
 def slices(given: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) of about `size` bytes of text, or of one longer text."""
-    ends, at = np.cumsum(pc.binary_length(given).to_numpy()), 0
+    """(first row, rows as large strings, null as the empty text) of about `size` bytes of text, or of one longer text."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(given), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
     while at < len(given):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
-        yield at, given[at:to]
+        yield at, given[at:to].cast(pa.large_string()).fill_null("")
         at = to
 
 

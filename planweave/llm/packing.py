@@ -231,8 +231,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_
         words = held(__name__, path, lambda: WordIds(path))  # tasks of a worker share what is remembered
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            given = batch.column("text").cast(pa.large_string()).fill_null("")
-            parts = [_cut(*words.encode(part), capacity, at) for at, part in slices(given, SLICE)]
+            parts = [_cut(*words.encode(part), capacity, at) for at, part in slices(batch.column("text"), SLICE)]
             doc, *columns = (np.concatenate(x) for x in zip(*parts))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "piece", "start", "length", "ids_crc32"])
