@@ -175,6 +175,12 @@ class Runner:
         marks = storage.at("state", f.name, "truncate")
 
         changed = False
+        # as many buckets as the session has shuffle partitions when the state is begun
+        kept = storage.at("state", f.name, "buckets")
+        if (buckets := storage.read_text(kept)) is None:
+            buckets = self.spark.conf.get("spark.sql.shuffle.partitions")
+            storage.write_text(kept, buckets)
+        own = cdc.bucket(f, int(buckets))
 
         def apply(batch: DataFrame, number: int) -> None:
             nonlocal changed
@@ -183,12 +189,12 @@ class Runner:
             changed = True
             batch = batch.persist()
             rows, truncates = cdc.changes(batch, f)
-            new = cdc.reduce(rows, f, columns).withColumn(cdc.BUCKET, cdc.bucket(f)).persist()
-            touched = [r[0] for r in new.select(cdc.BUCKET).distinct().collect()]  # cdc.BUCKETS numbers at most
+            new = cdc.reduce(rows, f, columns).withColumn(cdc.BUCKET, own).persist()
+            touched = [r[0] for r in new.select(cdc.BUCKET).distinct().collect()]  # as many numbers as there are buckets, at most
             if touched:
                 if storage.exists(path):
                     state = self.spark.read.schema(new.schema).parquet(path).where(F.col(cdc.BUCKET).isin(touched))
-                    merged = cdc.merged(state, new, f, columns).withColumn(cdc.BUCKET, cdc.bucket(f))
+                    merged = cdc.merged(state, new, f, columns).withColumn(cdc.BUCKET, own)
                 else:
                     merged = new
                 # only the buckets that the batch touches; a batch that is repeated gives the same rows again

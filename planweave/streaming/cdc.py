@@ -17,12 +17,12 @@ if TYPE_CHECKING:
     from ..plans.model import AutoCdc
 
 _ROW, _DELETE = "__row", "__delete"
-#: The state's partition column, and how many of its buckets there are: a batch rewrites those that its keys are in.
-BUCKET, BUCKETS = "__bucket", 256
+#: The state's partition column: a batch rewrites the buckets that its keys are in.
+BUCKET = "__bucket"
 
 
-def bucket(f: AutoCdc) -> Column:
-    return F.pmod(F.xxhash64(*f.keys), F.lit(BUCKETS)).cast("int")
+def bucket(f: AutoCdc, number: int) -> Column:
+    return F.pmod(F.xxhash64(*f.keys), F.lit(number)).cast("int")
 
 
 def payload(columns: list[str], f: AutoCdc) -> list[str]:

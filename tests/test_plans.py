@@ -296,7 +296,10 @@ def test_cdc_rewrites_only_the_buckets_that_a_batch_touches(spark, tmp_path, roo
     p.create_streaming_table("now")
     p.create_auto_cdc_flow("now", "log", ["k"], "seq")
     runner = Runner(spark, p, root)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
     runner.run()
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)  # the state keeps its number of buckets
     flow = next(f.name for f in p.flows)
     state = tmp_path / "store" / "state" / flow / "rows"
     before = {f: f.stat().st_mtime_ns for f in state.rglob("*.parquet")}
