@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Remembered, held, per_batch, slices
 
 #: Chunks of text of a generation that a worker remembers, and bytes of text that it takes at once (or one longer text).
-REMEMBERED, SLICE = 400_000, 2**22
+REMEMBERED, SLICE = 300_000, 2**22
 #: Bytes of the words that one recursive query merges, of the longest word among them, and rows that a query may make of a longer one.
 AT_ONCE, SHORT, ROWS = 200_000, 64, 2_000_000
 

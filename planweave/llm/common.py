@@ -118,8 +118,10 @@ def held(owner: str, key: Any, build: Callable[[], Any]) -> Any:
     return own[key]
 
 
-#: Rows that a step gets at once, so that what it makes of them stays small.
-ROWS = 1000
+#: Rows that a step gets at once, so that what it makes of them stays small, and rows of an Arrow batch of texts: each
+#: task holds a batch in Spark's own memory and another one in Python.
+ROWS, BATCH = 1000, 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _free() -> None:
@@ -143,7 +145,10 @@ def per_batch(df: DataFrame, schema: T.StructType | str, make: Callable[[], Call
         del step
         _free()
 
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default; a session that names another number keeps it
+        spark.conf.set(_BATCH, str(BATCH))
     return df.mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ END = 1
 #: Pieces packed together by one task, and shards whose open sequences are packed again together.
 SHARD, SHARDS = 16_384, 64
 #: Words of a generation that a worker remembers, and bytes of text that it takes at once (or one longer text).
-REMEMBERED, SLICE = 400_000, 2**22
+REMEMBERED, SLICE = 300_000, 2**22
 #: Bytes of the longest word merged here; the rank of a pair that does not merge.
 WIDTH, _NONE = 64, np.iinfo(np.int32).max
 
