@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from planweave.llm import bpe, components, html_text, packing, permutation_index, pivot_distance, quality, queries, secrets, simhash, toxicity, url_filter, weak
+from planweave.llm import bpe, common, components, html_text, packing, permutation_index, pivot_distance, quality, queries, secrets, simhash, toxicity, url_filter, weak
 
 from ..compare import duck, same
 from ..conftest import DATA
@@ -811,3 +811,19 @@ def test_pipeline_keeps_what_no_stage_rejects(spark, none):
     assert ids(now) == want
     assert ids(corpus_pipeline.run(spark, DATA)) == want
     assert not any(secrets.base_spans(r["text"] or "") for r in now.select("text").collect())
+
+
+# shared helpers
+
+
+def test_what_a_cut_table_was_shuffled_for_goes(spark):
+    kept = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in x}
+    setting = spark.conf.get(common._SHUFFLES_GO, None)
+    before = kept()
+    given = spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    out, ended = common.cut(given), time.time() + 20
+    while kept() - before and time.time() < ended:
+        time.sleep(0.2)
+    assert not kept() - before
+    assert sorted(out.collect()) == sorted(given.collect()) and out.count() == 7
+    assert spark.conf.get(common._SHUFFLES_GO, None) == setting
