@@ -473,6 +473,54 @@ def test_the_wrapper_alone_tells_template_from_content(spark, monkeypatch):
     assert len(keep) >= 2 and all(not all(r["keep"]) and len(r["template"]) == 1 for r in keep)
 
 
+def test_a_reference_has_a_partner_for_every_node_that_it_grew_from():
+    rng = random.Random(5)
+    for _ in range(20):
+        own = []
+        for _ in range(5):
+            t = html_text.Tree(["#"], [-1])
+            for _ in range(12):
+                parent = rng.randrange(len(t.labels))
+                t.add(rng.choice("abc"), parent, rng.randint(0, len(t.children[parent])))
+            own.append(t.text())
+        grown = html_text.reference(own)
+        assert all(min(html_text.match(html_text.tree_of(t), grown)) >= 0 for t in own)
+
+
+def test_nodes_of_rare_skeletons_count_and_are_judged(spark):
+    """More skeletons than the reference grows from: menus and comments that only the rare ones have are template all the same."""
+    prose = lambda k, j: f"Paragraph {j} of page {k}: " + " ".join(f"word{k * 7 + j * 3 + n}" for n in range(30))
+    pages, want = [], []
+    for k in range(200):
+        shape = k % html_text.SKELETONS if k < 2 * html_text.SKELETONS else k  # two pages each, or one
+        mark = "".join(chr(97 + shape // d % 26) for d in (26, 1))
+        blocks = [prose(k, 0), prose(k, 1)]
+        menu = "".join(f'<div><a href="/{n}">go to {k} {n}</a></div>' for n in range(4)) if shape == k and k >= html_text.SKELETONS else ""
+        comments = f'<div class="comments"><p>nice {k}</p></div>' if menu else ""
+        pages.append((k, f"http://rare.example/{k}", f"<body><div class=xc><p>{blocks[0]}</p><div class=w{mark}><p>{blocks[1]}</p></div><div class=xm>{menu}</div>{comments}</div></body>"))
+        want.append("\n".join(blocks))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert [got[k] for k in range(200)] == want
+    assert not any(None in r["keep"] for r in html_text.wrappers(df).collect())
+
+
+def test_named_places_join_the_reference():
+    first, other = tree("<div><p>x</p></div>"), tree("<div><p>x</p><ul><li>k<li><b>l</b></ul><section><h2>t</h2></section></div>")
+    at = html_text.match(other, first)
+    own = html_text.rest(other, at)
+    whole, numbers = html_text.joined(first, own)
+    assert [x[2] for x in own] == ["ul", "li", "section", "h2"] and [k >= 0 for k in at] == [True, True, True, False, False, False, False]
+    assert [whole.labels[numbers.get(k, k)] for k in at] == other.labels
+    assert [whole.parents[numbers.get(k, k)] for k in at[1:]] == [numbers.get(at[other.parents[k]], at[other.parents[k]]) for k in range(1, len(at))]
+    assert html_text.rest(first, html_text.match(first, first)) == []
+
+
+def test_a_closing_tag_finds_its_element_below_any_number_of_open_ones():
+    page = "<p>head <b class=ad>advert " + "<i>" * 500 + "x</b> tail</p>"
+    assert [x[1] for x in html_text.skeleton(html_text.parse(page))[2]] == ["head tail"]
+
+
 def test_every_host_of_the_table_has_a_wrapper(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     found = {r["host"]: r["keep"] for r in html_text.wrappers(pages).collect()}
